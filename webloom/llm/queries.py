@@ -11,6 +11,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_hits
+
+    return secret_hits(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_digest import exact_groups
 
@@ -18,6 +30,8 @@ def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
+    "op4_secret_scan": op4_secret_scan,
     "op6_exact_digest": op6_exact_digest,
 }
 
