@@ -29,10 +29,18 @@ def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op4_secret_scan": op4_secret_scan,
     "op6_exact_digest": op6_exact_digest,
+    "op7_language_id": op7_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
