@@ -119,7 +119,7 @@ def forward(w: Words, pick: np.ndarray, pieces: Pieces, p: np.ndarray, unknown:
     edges = [0, 8, 12, 16, 24, 40, 64, 128, 512, 4096, 1 << 40]
     for a, b in zip(edges, edges[1:]):
         group = np.flatnonzero((lengths >= a) & (lengths < b))
-        step = max(1, (1 << 20) // min(b, 1 << 20))
+        step = max(1, (1 << 18) // min(b, 1 << 18))
         for at in range(0, len(group), step):
             part = group[at : at + step]
             order, length, run = columns_of(w, pick[part])

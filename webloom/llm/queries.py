@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet import shards
+
+    return shards(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import license_matches
 
@@ -29,6 +35,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_hits(table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_digest import exact_groups
 
@@ -49,15 +61,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_wavelet_shards": op1_wavelet_shards,
     "op2_license_scan": op2_license_scan,
     "op3_source_mix": op3_source_mix,
     "op4_secret_scan": op4_secret_scan,
+    "op5_top_k": op5_top_k,
     "op6_exact_digest": op6_exact_digest,
     "op7_language_id": op7_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_top_k": """
+        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        u AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM e),
+        p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id,
+                     round(CASE WHEN a.norm > 0 AND b.norm > 0 THEN list_inner_product(a.v, b.v) / (a.norm * b.norm) ELSE 0 END, 9) AS score
+              FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour_id) AS rank FROM p)
+        SELECT query_id, rank::INTEGER AS rank, neighbour_id, score FROM r WHERE rank <= 10""",
     "op6_exact_digest": """
         WITH c AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE trim(regexp_replace(lower(nfc_normalize(text)), '\\s+', ' ', 'g')) END AS k FROM documents)
         SELECT doc_id, CASE WHEN k IS NULL THEN NULL ELSE min(doc_id) OVER (PARTITION BY k) END AS group_id,
