@@ -60,6 +60,13 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_digest": op6_exact_digest,
     "op7_language_id": op7_language_id,
     "op8_near_dedup": op8_near_dedup,
+    "op9_quality": op9_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
