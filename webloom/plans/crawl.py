@@ -13,7 +13,7 @@ from ..operators import hosts as H
 from ..operators import metrics as M
 from ..operators import responses as R
 from ..operators import schedule as S
-from ..schemas import DISALLOWED, DISCOVERED, EDGE, HOST, PAGE, PROCESSED
+from ..schemas import DISALLOWED, DISCOVERED, EDGE, HOST, PROCESSED
 from ..settings import CrawlSettings
 from ..sources.fetch import FetchAdapter
 from ..sources.seeds import seeds as seed_rows
@@ -87,7 +87,7 @@ class Crawl:
         queue = S.politeness(S.queue_rank(judged.where("verdict = 'Allowed'").drop("verdict")), hosts, now)
         scheduled = self._keep(queue, "schedule", seq)
         due = scheduled.where(F.unix_micros("eligible_at") <= F.unix_micros(now) + F.lit(window_ms) * 1000)
-        requests = due.select(*PAGE.names, "attempts", "scheme_and_authority")
+        requests = due.select("url", "crawl_depth", "crawl_priority", "attempts", "scheme_and_authority")
         results = self._keep(R.classify_pages(self.adapter.pages(requests), s.max_content_length), "results", seq)
         if s.consume is not None and (rows := s.consume(results)) is not None:
             rows.write.mode("overwrite").parquet(f"{self.path}/consumed/seq={seq}")
