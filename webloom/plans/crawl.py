@@ -51,16 +51,17 @@ class Crawl:
     def admit(self, raw: DataFrame, as_of: dt.datetime, seq: int) -> DataFrame:
         """Raw candidates -> page events of those that are new: normalized, filtered, allowed by robots or unknown to it."""
         clean = C.url_filter(C.normalize(C.dedup(raw), self.settings), self.settings)
-        fresh = C.unseen(clean, self.state.pages())
+        fresh = self._keep(C.unseen(clean, self.state.pages()), "fresh", seq)
         allowed = H.lenient(fresh, self.refresh_hosts(fresh, as_of, seq))
         return C.to_pages(allowed, self.settings).withColumn("attempts", F.lit(0))
 
     def refresh_hosts(self, urls: DataFrame, as_of: dt.datetime, seq: int) -> DataFrame:
         """Fetch robots.txt for hosts without live information; all hosts' information."""
         known, now = self.state.hosts(), F.lit(as_of).cast("timestamp")
-        need = H.missing_or_expired(H.with_host(urls), known, now)
-        rows = H.refresh(self._keep(self.adapter.robots(need), f"robots-{dt.datetime.now().timestamp()}", seq), known, now, self.settings)
-        if not rows.isEmpty():
+        stamp = dt.datetime.now().timestamp()
+        need = self._keep(H.missing_or_expired(H.with_host(urls), known, now), f"hosts-{stamp}", seq)
+        if not need.isEmpty():
+            rows = H.refresh(self._keep(self.adapter.robots(need), f"robots-{stamp}", seq), known, now, self.settings)
             self.state.append_hosts(rows.select(*HOST.names).join(known.select("scheme_and_authority", "next_eligible_at"), "scheme_and_authority", "left"), self.state.last_seq() + 1)
         return self.state.hosts()
 

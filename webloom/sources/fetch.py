@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..operators.responses import robots_outcome
 from ..schemas import HEADERS, RESPONSE
 from ..settings import CrawlSettings
+from .scratch import checkpointed
 
 
 class FetchAdapter(Protocol):
@@ -58,9 +59,11 @@ class CorpusAdapter:
             got = todo.join(self.stored, "url", "left").withColumn("location", redirect_url(F.col("url"), header(F.col("headers"), "location")))
             absent = F.col("failed").isNull()
             outcome = F.when(absent, "Unavailable").otherwise(robots_outcome(F.col("failed"), F.col("status"), F.col("content_type"), F.col("location"), F.col("hops"), self.settings.robots_max_redirects))
-            got = got.withColumn("outcome", outcome)
+            got = checkpointed(got.select("scheme_and_authority", outcome.alias("outcome"), "body", "location", "hops"))
             done.append(got.where("outcome <> 'Redirect'").select("scheme_and_authority", "outcome", F.when(F.col("outcome") == "Response", F.col("body")).alias("body")))
             todo = got.where("outcome = 'Redirect'").select("scheme_and_authority", F.col("location").alias("url"), (F.col("hops") + 1).alias("hops"))
+            if todo.isEmpty():
+                break
         out = done[0]
         for x in done[1:]:
             out = out.unionByName(x)
