@@ -32,12 +32,20 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep what Arrow hands to Python at once small; a session that sets these itself keeps its own."""
+    for key, value in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(value))
+
+
 def small_side(df: DataFrame, rows: int, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast when rows * row_bytes is within limit, else df itself (a shuffled join follows)."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
 
 
-def slices(column: pa.Array, nbytes: int = 2 << 20) -> Iterator[pa.Array]:
+def slices(column: pa.Array, nbytes: int = 1 << 19) -> Iterator[pa.Array]:
     """Cut a string column into runs of rows of about nbytes; one longer row stays whole. An empty column is yielded as it is."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

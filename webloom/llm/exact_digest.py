@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize, slices, small_side
+from .common import BROADCAST_BYTES, bound_batches, materialize, slices, small_side
 
 
 def canonical(text: str, form: str = "NFKC") -> str:
@@ -56,6 +56,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null doc_id is ignored as group_id unless the group has no other. An empty table gives no rows. Columns of
     docs other than the two named are not read, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     digest, canon = digest_udf(form, width), canonical_udf(form)
     digests = materialize(src.select("doc_id", digest("text").alias("digest")), "digest")

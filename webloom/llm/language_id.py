@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 from .words import INVERSE, MULT, Words, mix, powers, words
 
 TOKENIZERS = os.environ.get("WEBLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -247,11 +247,24 @@ def train(texts: list[str], labels: list[str], tokenizers: str = TOKENIZERS, rou
     model = Model(languages, pieces, p, np.full(count, 1e-8), np.zeros(count), np.ones(count), slack)
     if not languages:
         return model
-    w = words(pa.array(texts, pa.large_string()), letters_only=True)
     label = np.array([number[x] for x in labels])
-    distinct, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+    spelled: dict[int, str] = {}
+    hashes, rows, sizes, seen = [], [], [], 0
+    for part in slices(pa.array(texts, pa.large_string())):
+        w = words(part, letters_only=True)
+        for h, i in zip(*(x.tolist() for x in np.unique(w.hash, return_index=True))):
+            if h not in spelled:
+                spelled[h] = w.text(i)
+        hashes.append(w.hash)
+        rows.append(w.row + seen)
+        sizes.append(w.end - w.start + 1)
+        seen += len(part)
+    row, size = np.concatenate(rows), np.concatenate(sizes)
+    distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    w = words(pa.array([spelled[h] for h in distinct.tolist()], pa.large_string()), letters_only=True)  # one word a row
+    first = np.arange(len(distinct))
     weight = np.zeros((len(distinct), count))
-    np.add.at(weight, (inverse, label[w.row]), 1)
+    np.add.at(weight, (inverse, label[row]), 1)
     weight += 1e-3 * weight.sum(axis=1, keepdims=True) / count  # words of other languages are possible
     for _ in range(rounds):
         expected = forward(w, first, pieces, model.p, model.unknown, weight)
@@ -259,8 +272,8 @@ def train(texts: list[str], labels: list[str], tokenizers: str = TOKENIZERS, rou
         model.p = expected / expected.sum(axis=0)
         model.unknown = model.p.min(axis=0) * 1e-2
     value = forward(w, first, pieces, model.p, model.unknown)
-    letters = np.bincount(w.row, weights=(w.end - w.start + 1), minlength=len(texts))
-    own = np.bincount(w.row, weights=value[inverse, label[w.row]], minlength=len(texts))
+    letters = np.bincount(row, weights=size, minlength=len(texts))
+    own = np.bincount(row, weights=value[inverse, label[row]], minlength=len(texts))
     for i in range(count):
         mine = (label == i) & (letters > 0)
         if mine.any():
@@ -307,12 +320,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     Repeated rows and null ids are judged like others; an empty table gives no rows; without labelled texts lang is null
     and keep false everywhere. Other columns are not read, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return src.select("doc_id", decide_udf(model)("text").alias("r")).select("doc_id", "r.*")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that identify() keeps, with lang_col set to the language found; columns stay as they are."""
+    bound_batches(docs.sparkSession)
     names, mark = docs.columns, "__language"
     while mark in names:
         mark += "_"

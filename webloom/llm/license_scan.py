@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 from .license_templates import TEMPLATES
 from .words import grams, words
 
@@ -155,5 +155,6 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     template that occurs several times in a text gives a row each time. Equal matches of two templates go to the name that
     sorts first. An empty table gives no rows; other columns are not read, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return src.select("doc_id", F.explode(scan_udf(templates, k, window, min_coverage)("text")).alias("m")).select("doc_id", "m.*")

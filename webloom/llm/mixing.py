@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize, small_side
+from .common import BROADCAST_BYTES, bound_batches, materialize, small_side
 from .language_id import TOKENIZERS
 from .tokens import count_udf
 
@@ -107,6 +107,7 @@ def decide(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, picks): rows (key, doc_id, source, n_tokens) of all docs; picks (key, rate, copies) of their distinct keys."""
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = materialize(docs.select(key_of(id_col, text_col, source_col).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_udf(tokenizers)(F.col(text_col)).alias("n_tokens")), "rows")
     found = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     rate = rates({r["source"]: r["t"] for r in found}, weights, budget, temperature)

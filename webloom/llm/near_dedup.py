@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize, slices, small_side
+from .common import BROADCAST_BYTES, bound_batches, materialize, slices, small_side
 from .words import grams, mix, words
 
 COORDINATES = 128
@@ -229,6 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, k: int = 3, trees: int = 4, branches: int = 2, limit: int = 100, levels: int = 8, chunk: int = 8192) -> DataFrame:
     """(doc_id, key, root) of the documents that have words; key is the hash of id and text, documents of equal root form a group."""
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     signed = materialize(src.mapInArrow(sign(k), SIGNED), "signed")
     # documents of one signature are one record from here on

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import bound_batches, materialize, slices
 from .language_id import TOKENIZERS
 from .tokens import encode
 
@@ -129,6 +129,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     a null doc_id stays null. Ties go by row number. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     sizes = materialize(counted(docs, id_col, text_col, capacity, tokenizers), "sizes").where("n_tokens > 0")
     pieces = sizes.select("doc_id", "first", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_tokens - 1) div {capacity}"))).alias("chunk")).select(
         F.lit(0).alias("kind"), (F.col("first") + F.col("chunk")).alias("id"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("chunk") * capacity).cast("int").alias("size"), "doc_id", "chunk"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan, slices
+from .common import bound_batches, scan, slices
 
 BUCKETS = 256
 FEATURES = BUCKETS + 3
@@ -87,7 +87,8 @@ def train(texts: list[str], labels: list[int], size: int = 400, hidden: int = 32
     """Fit by Adam on four fifths; the threshold is the highest, up to 0.5, at which the share kept of the good texts of the last fifth passes."""
     rng = np.random.default_rng(seed)
     net = Network.start(hidden, gates, rng)
-    x, count = encode(pa.array(texts, pa.large_string()), size)
+    coded = [encode(part, size) for part in slices(pa.array(texts, pa.large_string()))]
+    x, count = (np.concatenate([c[i] for c in coded]) for i in (0, 1))
     at = np.cumsum(count) - count
     usable = np.flatnonzero(count > 0)
     y = np.array(labels, np.float32)
@@ -163,5 +164,6 @@ def quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     Null and empty texts: score, top_passage and top_weight null, keep false, passages 0. Repeated rows and null ids are scored
     like others; an empty table gives no rows; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return src.select("doc_id", score_udf(net, size)("text").alias("r")).select("doc_id", "r.*")

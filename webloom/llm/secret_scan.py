@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scan, slices
+from .common import bound_batches, scan, slices
 
 HIT = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("candidate", pa.string()), ("format", pa.string()), ("score", pa.float64()), ("secret", pa.bool_())])
 HIT_DDL = "array<struct<start:bigint,end:bigint,candidate:string,format:string,score:double,secret:boolean>>"
@@ -279,6 +279,7 @@ def secret_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null, empty and short texts give no rows; repeated rows give theirs again; a null doc_id stays null; of equally likely
     formats the last by name is taken. An empty table gives no rows; other columns are not read, whatever their names.
     """
+    bound_batches(docs.sparkSession)
     automata = train(labelled, alpha) if labelled is not None else public_automata(alpha)
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return src.select("doc_id", F.explode(scan_udf(automata, margin, shortest)("text")).alias("h")).select("doc_id", "h.*")
@@ -286,6 +287,7 @@ def secret_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", labelled: list[tuple[str, str]] | None = None, margin: float = 3.0, shortest: int = 16, alpha: float = 0.05) -> DataFrame:
     """docs with secrets replaced in text_col and chars_col set to the new length where the text changed; rows and columns stay as they are."""
+    bound_batches(docs.sparkSession)
     automata = train(labelled, alpha) if labelled is not None else public_automata(alpha)
     names, mark = docs.columns, "__redacted"
     while mark in names:

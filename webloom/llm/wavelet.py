@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 from .language_id import TOKENIZERS
 from .tokens import processor
 
@@ -213,6 +213,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         if ids:
             yield close()
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SHARD_DDL)
 
 
