@@ -83,3 +83,34 @@ def test_offsets_and_redaction(spark):
 def test_empty(spark):
     assert S.secret_hits(frame(spark, [])).count() == 0
     assert S.redact(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("around", ["key={}", "token={}", "access_token={}/page", "files/docs/{}", "www.example.com/a.html/{}"])
+def test_credentials_attached_to_other_text(automata, around):
+    held = [x for x in S.labelled_credentials(15, seed=99) if len(x[1]) >= 16]
+    whole = {True: [], False: []}
+    for name, value in held:
+        text = around.format(value)
+        covered = set()
+        for start, end, _, _ in S.secrets_in(text, automata, 3.0, 16):
+            covered |= set(range(start, end))
+        at = text.index(value)
+        if name.startswith(S.PLAIN):
+            whole[False].append(bool(covered))
+        else:
+            whole[True].append(covered >= set(range(at, at + len(value))))
+    assert sum(whole[True]) >= 0.9 * len(whole[True])
+    assert sum(whole[False]) <= 0.03 * len(whole[False])
+
+
+def test_attached_secrets_are_redacted(spark):
+    """Row 1 of test_offsets_and_redaction, a URL, two in one run, and look-alikes that stay."""
+    key, token = "AKIA" + "QWERTY234567ZXCV", "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"
+    uuid = "id=550e8400-e29b-41d4-a716-446655440000"
+    rows = [(1, f"é漢 key={key}. end"), (2, f"https://x.example/a?access_token={token}&b=1"), (3, f"{key}={token}"), (4, uuid), (5, f"files/{key}/x")]
+    hits = {(h.doc_id, h.candidate): h for h in S.secret_hits(frame(spark, rows)).collect()}
+    assert {k for k, h in hits.items() if h.secret} == {(1, key), (2, token), (3, key), (3, token), (5, key)}
+    assert hits[1, key].start == len("é漢 key=") and hits[1, key].format == "aws_access_key"
+    got = {r.doc_id: r.text for r in S.redact(frame(spark, rows)).collect()}
+    assert got[1] == "é漢 key=<SECRET:aws_access_key>. end" and got[4] == uuid
+    assert not any(key in t or token in t for t in got.values())

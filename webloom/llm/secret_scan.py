@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import random
+import re
 import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -85,6 +87,29 @@ class Automaton:
         self.lengths = Counter(map(len, strings))
         self.total = len(strings)
         self.letters = {c for s in strings for c in s}
+        self.tabulate()
+
+    def tabulate(self) -> None:
+        """What log_likelihood() does at each state and letter of ALPHABET, as arrays, each letter's worth being its log likelihood ratio to an
+        even one; and the most that can be gained in up to k more letters from each state."""
+        hub = max(range(len(self.next)), key=lambda q: self.arrive[q])
+        other = 1 / max(8, len(self.letters))
+        self.worth, self.to = np.full((len(self.next), len(ALPHABET)), math.log(1e-4)), np.full((len(self.next), len(ALPHABET)), hub)
+        for q in range(len(self.next)):
+            n = self.arrive[q] - self.stop[q]
+            for i, c in enumerate(ALPHABET):
+                seen = self.count[q].get(c, 0)
+                if c in self.letters and n + seen > 0:
+                    self.worth[q, i] = math.log((seen + 0.5 * other) / (n + 0.5))
+                self.to[q, i] = self.next[q].get(c, hub)
+        self.worth += math.log(len(ALPHABET))
+        most = [np.zeros(len(self.next))]
+        for _ in range(max(self.lengths, default=0)):
+            most.append(np.maximum(most[-1], (self.worth + most[-1][self.to]).max(axis=1)))
+        self.most = np.array(most)
+
+    def length_gain(self, n: int) -> float:
+        return math.log((self.lengths.get(n, 0) + 0.01) / (self.total + 1)) + math.log(100)
 
     def differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return n1 > 0 and n2 > 0 and abs(f1 / n1 - f2 / n2) > self.bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -179,6 +204,138 @@ def judge(candidate: str, automata: dict[str, Automaton], margin: float) -> tupl
     return name, score, score > margin
 
 
+#: edges of a span are free beside these and at the ends of a run; elsewhere an edge costs as much as a letter drawn evenly
+BREAKS = "=/."
+_CODE = np.full(256, len(ALPHABET), np.uint8)
+_CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+_BREAK = np.zeros(256, bool)
+_BREAK[np.frombuffer(BREAKS.encode(), np.uint8)] = True
+BLOCK = 1 << 17  # starts that are followed at once
+
+
+def edges_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(letters by their place in ALPHABET with one more at the end, cost of an edge before each)."""
+    raw = np.frombuffer(text.encode("ascii"), np.uint8)
+    free = np.ones(len(raw) + 1, bool)
+    is_break = _BREAK[raw]
+    free[1:-1] = is_break[:-1] | is_break[1:]
+    return np.append(_CODE[raw], np.uint8(len(ALPHABET))), np.where(free, 0.0, math.log(len(ALPHABET)))
+
+
+def slide(code: np.ndarray, edge: np.ndarray, a: Automaton, starts: np.ndarray, margin: float, shortest: int) -> list[tuple[int, int, float]]:
+    """(start, end, gain) of all spans from starts that have a length seen in training and gain more than margin over even letters. A start is
+    given up only when the rest of the longest string could not lift it over margin."""
+    size = len(code) - 1
+    lengths = {n: a.length_gain(n) for n in a.lengths if shortest <= n <= size}
+    out: list[tuple[int, int, float]] = []
+    if not lengths:
+        return out
+    least, longest, bonus = min(lengths), max(lengths), max(lengths.values())
+    starts = starts[starts <= size - least]
+    for block in range(0, len(starts), BLOCK):
+        at = starts[block : block + BLOCK]
+        state, gain = np.zeros(len(at), np.int64), -edge[at]
+        for n in range(1, longest + 1):
+            if n > least:
+                inside = at + n <= size
+                at, state, gain = at[inside], state[inside], gain[inside]
+            c = code[at + n - 1]
+            gain = gain + a.worth[state, c]
+            state = a.to[state, c]
+            alive = gain + a.most[longest - n][state] + bonus > margin
+            at, state, gain = at[alive], state[alive], gain[alive]
+            if not len(at):
+                break
+            if n in lengths:
+                total = gain + lengths[n] - edge[at + n]
+                hit = np.flatnonzero(total > margin)
+                out += zip(at[hit].tolist(), (at[hit] + n).tolist(), total[hit].tolist())
+    return out
+
+
+def pieces(text: str, shortest: int) -> list[tuple[int, int]]:
+    """The whole, and what lies between '=', between '=' and '/', and between all of BREAKS."""
+    found = {(0, len(text))}
+    for k in range(1, len(BREAKS) + 1):
+        found |= {m.span() for m in re.finditer(f"[^{re.escape(BREAKS[:k])}]{{{shortest},}}", text)}
+    return sorted(found)
+
+
+def chosen(spans: list[tuple[int, int, float, str]]) -> list[tuple[int, int, float, str]]:
+    """Spans that do not overlap, of the greatest total gain."""
+    spans = sorted(spans, key=lambda x: (x[1], x[0], x[3]))
+    ends, total, back = [x[1] for x in spans], [0.0], [(0, False)]
+    for i, (start, _, gain, _) in enumerate(spans):
+        before = bisect.bisect_right(ends, start, 0, i)
+        take = total[before] + gain > total[-1]
+        back.append((before, True) if take else (i, False))
+        total.append(max(total[-1], total[before] + gain))
+    out, i = [], len(spans)
+    while i:
+        to, taken = back[i]
+        if taken:
+            out.append(spans[i - 1])
+        i = to
+    return out[::-1]
+
+
+def secrets_in(text: str, automata: dict[str, Automaton], margin: float, shortest: int) -> list[tuple[int, int, str, float]]:
+    """(start, end, format, score) of the secrets in a run, in order. Spans of all formats, the plain ones too, compete for its letters: each
+    start with each length that the format had in training, and whole pieces with any length. What is left of the run beside a
+    secret is searched again, so that nothing turns into one when the secret is taken out."""
+    best: dict[tuple[int, int], tuple[float, str]] = {}
+
+    def offer(start: int, end: int, gain: float, name: str) -> None:
+        if (start, end) not in best or (gain, name) > best[start, end]:
+            best[start, end] = gain, name
+
+    code, edge = edges_of(text)
+    every = np.arange(max(0, len(text) - shortest + 1))
+    for name, a in automata.items():
+        if not name.startswith(PLAIN):
+            for start, end, gain in slide(code, edge, a, every, margin, shortest):
+                offer(start, end, gain, name)
+    for start, end in pieces(text, shortest):
+        part = text[start:end]
+        name, _, secret = judge(part, automata, margin)
+        if secret:
+            offer(start, end, automata[name].log_likelihood(part) + math.log(100) + len(part) * math.log(len(ALPHABET)), name)
+    if not best:
+        return []
+    near = np.zeros(len(text) + 1, np.int64)  # plain spans matter only where they can overlap those found
+    reach = max((n for name, a in automata.items() if name.startswith(PLAIN) for n in a.lengths), default=0)
+    for start, end in best:
+        near[max(0, start - reach)] += 1
+        near[end] -= 1
+    around = every[np.cumsum(near)[every] > 0]
+    plain = {name: a for name, a in automata.items() if name.startswith(PLAIN)}
+    for name, a in plain.items():
+        for start, end, gain in slide(code, edge, a, around, margin, shortest):
+            offer(start, end, gain, name)
+    for start, end in pieces(text, shortest) if plain else []:
+        part = text[start:end]
+        gain, name = max((a.log_likelihood(part), name) for name, a in plain.items())
+        gain += math.log(100) + len(part) * math.log(len(ALPHABET))
+        if gain > margin:
+            offer(start, end, gain, name)
+    out = []
+    for start, end, gain, name in chosen([(s, e, g, n) for (s, e), (g, n) in best.items()]):
+        if name.startswith(PLAIN):
+            continue
+        _, score, secret = judge(text[start:end], automata, margin)
+        if secret:
+            out.append((start, end, name, score))
+    last, more = 0, []
+    for start, end in [(s, e) for s, e, _, _ in out] + [(len(text), len(text))] if out else []:
+        gap = text[last:start]
+        left = last + len(gap) - len(gap.lstrip(".="))
+        rest = text[left:start].rstrip(".")
+        if len(rest) >= shortest:
+            more += [(left + s, left + e, n, x) for s, e, n, x in secrets_in(rest, automata, margin, shortest)]
+        last = end
+    return sorted(out + more)
+
+
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[np.frombuffer(ALPHABET.encode(), np.uint8)] = 1
 _DIGIT = np.zeros(256, np.int32)
@@ -224,10 +381,11 @@ def find(column: pa.Array, automata: dict[str, Automaton], margin: float, shorte
         if text not in cache:
             if len(cache) > 100_000:
                 cache.clear()
-            cache[text] = judge(text, automata, margin)
-        name, score, secret = cache[text]
+            hits = [(i, j, name, score, True) for i, j, name, score in secrets_in(text, automata, margin, shortest)]
+            cache[text] = hits or [(0, len(text), *judge(text, automata, margin)[:2], False)]
         before = len(raw[int(at[r]) : s].decode("utf-8", "replace"))  # code points before it
-        out[r].append({"start": before, "end": before + e - s, "candidate": text, "format": name, "score": score, "secret": secret})
+        for i, j, name, score, secret in cache[text]:
+            out[r].append({"start": before + i, "end": before + j, "candidate": text[i:j], "format": name, "score": score, "secret": secret})
     return out
 
 
@@ -269,11 +427,14 @@ def redact_udf(automata: dict[str, Automaton], margin: float, shortest: int):
 
 
 def secret_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: list[tuple[str, str]] | None = None, margin: float = 3.0, shortest: int = 16, alpha: float = 0.05) -> DataFrame:
-    """One row for each candidate: (doc_id, start, end, candidate, format, score, secret).
-
-    Candidates are all maximal runs of at least shortest letters, digits and "+/_-=." that hold a digit. format is the
-    likeliest credential format, score its log likelihood ratio (in nats) to the likeliest other explanation, and secret
-    says whether that exceeds margin. Automata are inferred on the driver from labelled (a fixed number of pairs) and travel
+    """One row for each secret in a candidate, or for the whole candidate where it has none: (doc_id, start, end, candidate, format, score, secret).
+
+    Candidates are all maximal runs of at least shortest letters, digits and "+/_-=." that hold a digit. In each, spans that
+    do not overlap are chosen for the greatest total log likelihood ratio to even letters, plain formats competing: from every
+    start with every length that a format has in training, and the whole run and its pieces between "=", "/" and "." with any
+    length; so NAME=value, ?access_token=value and path/value give the value. A credential of a length not seen in training is
+    found only as such a piece. format is the span's credential format, score its log likelihood ratio (in nats) to the
+    likeliest other explanation, and secret says whether that exceeds margin. Automata are inferred on the driver from labelled (a fixed number of pairs) and travel
     with the task; texts are read once, in place: no shuffle. Offsets count code points.
 
     Null, empty and short texts give no rows; repeated rows give theirs again; a null doc_id stays null; of equally likely
