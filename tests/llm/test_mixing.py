@@ -77,3 +77,21 @@ def test_null_empty_and_repeated(spark):
 def test_empty(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert sample(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("budget_share", [1.0, 0.5])
+def test_a_tiny_source_does_not_set_the_size(spark, budget_share):
+    """By default the mixture has a fixed share of all tokens, a source of two words or not."""
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(WORDS) for _ in range(40)), "ab"[i % 10 == 0], "k", "c") for i in range(600)]
+    for more in ([], [(1000, "river stone", "tiny", "k", "c")], [(1000, "river stone", None, "k", "c")]):
+        out = mix(spark.createDataFrame(rows + more, SCHEMA), budget_share=budget_share).collect()
+        total = sum(x.n_tokens for x in out)
+        assert sum(x.copies * x.n_tokens for x in out) == pytest.approx(budget_share * total, rel=0.02)
+        assert max(x.rate for x in out) > 1 or budget_share < 1
+
+
+def test_default_mixture_keeps_its_size(spark):
+    rows = [(i, "alpha beta gamma delta epsilon " * 8, "a", "k", "c") for i in range(500)] + [(1000, "river stone", "tiny", "k", "c")]
+    kept = sample(spark.createDataFrame(rows, SCHEMA)).where("source = 'a'").count()
+    assert kept > 400

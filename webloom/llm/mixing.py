@@ -103,13 +103,15 @@ def key_of(id_col: str, text_col: str, source_col: str):
 
 
 def decide(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, budget: float | None = None, temperature: float = 0.7, seed: int = 11, bucket: int = 4096, tokenizers: str = TOKENIZERS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, budget: float | None = None, temperature: float = 0.7, seed: int = 11, bucket: int = 4096, tokenizers: str = TOKENIZERS, budget_share: float = 1.0
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, picks): rows (key, doc_id, source, n_tokens) of all docs; picks (key, rate, copies) of their distinct keys."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows = materialize(docs.select(key_of(id_col, text_col, source_col).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_udf(tokenizers)(F.col(text_col)).alias("n_tokens")), "rows")
     found = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    if budget is None:  # a share of all tokens, so that no single source sets the size of the mixture
+        budget = budget_share * sum(r["t"] for r in found)
     rate = rates({r["source"]: r["t"] for r in found}, weights, budget, temperature)
     per = spark.createDataFrame([(r["source"], float(rate[r["source"]]), -(-r["n"] // bucket)) for r in found], "source string, rate double, buckets bigint")
     per = F.broadcast(per)
@@ -147,7 +149,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """One row for each row of docs: (doc_id, source, n_tokens, rate, copies).
 
     copies is how often the row enters the mixture (0: left out); its expectation is rate, weight * budget / tokens of the
-    source. Within each source the cube method keeps the totals of documents and of tokens at their targets: inclusion
+    source. Without a budget the mixture has budget_share of all tokens, whatever the sources' sizes: rows of sources whose
+    share of the weights is over their share of the tokens are repeated (rate over 1), those of others thinned out. Within each source the cube method keeps the totals of documents and of tokens at their targets: inclusion
     probabilities move through the null space of both constraints in buckets of equal size, at most two units a bucket stay
     fractional and go into buckets of the next level, and the last two of each source are balanced over all and then landed.
     Text is read once for token counts; what is shuffled is 24 bytes a row. The driver holds two rows a source.
