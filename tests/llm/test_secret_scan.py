@@ -114,3 +114,17 @@ def test_attached_secrets_are_redacted(spark):
     got = {r.doc_id: r.text for r in S.redact(frame(spark, rows)).collect()}
     assert got[1] == "é漢 key=<SECRET:aws_access_key>. end" and got[4] == uuid
     assert not any(key in t or token in t for t in got.values())
+
+
+def test_credentials_without_digits_are_found(automata):
+    """find() sees every held-out credential; runs of words without digits stay plain."""
+    held = [x for x in S.labelled_credentials(60, seed=99) if len(x[1]) >= 16]
+    bare = [("aws_access_key", "AKIA" + "QWERTYZXCVBNMASD"), ("stripe_key", "sk_live_" + "aBcDeFgHiJkLmNoPqRsTuVwX")]
+    plain = ["thanonontioniner", "Teachscherheitpf", "mail.example.com", "nichteinungeinkeit", "some/plain/path/here.html"]
+    names, texts = zip(*held, *bare)
+    found = S.find(pa.array(list(texts)), automata, 3.0, 16, {})
+    secret = [any(h["secret"] for h in hits) for n, hits in zip(names, found) if not n.startswith(S.PLAIN)]
+    assert sum(secret) >= 0.97 * len(secret)
+    for (name, value), hits in zip(bare, found[len(held) :]):
+        assert [(h["candidate"], h["format"], h["secret"]) for h in hits] == [(value, name, True)]
+    assert not any(h["secret"] for hits in S.find(pa.array(plain), automata, 3.0, 16, {}) for h in hits)

@@ -342,8 +342,8 @@ _DIGIT = np.zeros(256, np.int32)
 _DIGIT[np.frombuffer(string.digits.encode(), np.uint8)] = 1
 
 
-def candidates(column: pa.Array, shortest: int) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, row offsets, row, start, end) of maximal runs of credential characters with a digit, at least shortest long, '.' and '=' trimmed from the left and '.' from the right."""
+def candidates(column: pa.Array, shortest: int, digits: bool = True) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, row offsets, row, start, end) of maximal runs of credential characters (where digits is set, those with a digit), at least shortest long, '.' and '=' trimmed from the left and '.' from the right."""
     raw, at = scan(column)
     b = np.frombuffer(raw, np.uint8)
     inside = np.zeros(len(b) + 1, np.int8)
@@ -357,10 +357,11 @@ def candidates(column: pa.Array, shortest: int) -> tuple[bytes, np.ndarray, np.n
         start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
     keep = end - start >= shortest
     start, end = start[keep], end[keep]
-    digits = np.zeros(len(b) + 1, np.int32)
-    np.cumsum(_DIGIT[b], out=digits[1:])
-    keep = digits[end] > digits[start]
-    start, end = start[keep], end[keep]
+    if digits:
+        upto = np.zeros(len(b) + 1, np.int32)
+        np.cumsum(_DIGIT[b], out=upto[1:])
+        keep = upto[end] > upto[start]
+        start, end = start[keep], end[keep]
     for i in range(len(start)):
         s, e = int(start[i]), int(end[i])
         while s < e and raw[s] in b".=":
@@ -375,7 +376,7 @@ def candidates(column: pa.Array, shortest: int) -> tuple[bytes, np.ndarray, np.n
 
 def find(column: pa.Array, automata: dict[str, Automaton], margin: float, shortest: int, cache: dict) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(len(column))]
-    raw, at, row, start, end = candidates(column, shortest)
+    raw, at, row, start, end = candidates(column, shortest, digits=False)
     for r, s, e in zip(row.tolist(), start.tolist(), end.tolist()):
         text = raw[s:e].decode("ascii")
         if text not in cache:
@@ -429,7 +430,7 @@ def redact_udf(automata: dict[str, Automaton], margin: float, shortest: int):
 def secret_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: list[tuple[str, str]] | None = None, margin: float = 3.0, shortest: int = 16, alpha: float = 0.05) -> DataFrame:
     """One row for each secret in a candidate, or for the whole candidate where it has none: (doc_id, start, end, candidate, format, score, secret).
 
-    Candidates are all maximal runs of at least shortest letters, digits and "+/_-=." that hold a digit. In each, spans that
+    Candidates are all maximal runs of at least shortest letters, digits and "+/_-=.", with a digit or without. In each, spans that
     do not overlap are chosen for the greatest total log likelihood ratio to even letters, plain formats competing: from every
     start with every length that a format has in training, and the whole run and its pieces between "=", "/" and "." with any
     length; so NAME=value, ?access_token=value and path/value give the value. A credential of a length not seen in training is
