@@ -2,8 +2,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from webloom.llm import near_dedup
 from webloom.llm.near_dedup import components, keep_one, near_groups
 
 DOCS = "doc_id bigint, text string, rec string, node string, group_id int"
@@ -112,3 +115,87 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a bigint, b bigint")
     got = {r.rec: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
+
+
+def sketches_of(rows):
+    """doc_id -> low bytes of the minwise values, by the operator's own signing."""
+    column = pa.array([t for _, t in rows], pa.large_string())
+    at, sig = near_dedup.signatures(*near_dedup.shingle_sets(column, 3))
+    return {rows[i][0]: s.astype(np.uint8) for i, s in zip(at.tolist(), sig)}
+
+
+def parts_of(ids, pairs):
+    part = {i: i for i in ids}
+    for a, b in pairs:
+        low, high = sorted((part[a], part[b]))
+        if low != high:
+            part = {i: low if p == high else p for i, p in part.items()}
+    return part
+
+
+@pytest.mark.parametrize("chunk", [8, 64, 4096])
+def test_dense_node_is_exact(spark, chunk):
+    """One node that holds several families, some of whose members resemble no leader, loses no link, whatever the chunks."""
+    r = random.Random(8)
+    texts = []
+    for _ in range(6):
+        base = sentence(r, 60)
+        for _ in range(r.randint(5, 25)):
+            text = list(base)
+            at = r.randrange(60)
+            for j in range(r.randint(0, 16)):
+                text[(at + j) % 60] = r.choice(VOCABULARY)
+            texts.append(" ".join(text))
+    rows = list(enumerate(dict.fromkeys(texts)))
+    sketch = sketches_of(rows)
+    pairs = [(a, b) for a in sketch for b in sketch if a < b and near_dedup.alike(sketch[a][None], sketch[b][None])[0] >= 0.46]
+    want = parts_of(sketch, pairs)
+    assert 1 < len(set(want.values())) < len(sketch)
+    dense = spark.createDataFrame([(1, i, len(sketch)) for i in sketch], "node bigint, rec bigint, n bigint")
+    known = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sketch.items()], "rec bigint, sketch binary")
+    scratch = near_dedup.Scratch(spark)
+    parts = components(near_dedup.elect(dense, known, 0.46, chunk, scratch), scratch)
+    more = near_dedup.open_pairs(dense, parts, known, 0.46, chunk, scratch)
+    if more is not None:
+        parts = components(parts.selectExpr("rec AS a", "root AS b").unionByName(more), scratch)
+    got = {i: i for i in sketch} | {x.rec: x.root for x in parts.collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("limit", [100, 3])
+def test_recall_of_links_at_the_threshold(spark, limit):
+    """Against all pairs of sketches: at least nine of ten links at the threshold are within a group, however deep the trees."""
+    r = random.Random(12)
+    rows = []
+    shared = sentence(r, 25)
+    for i in range(150):
+        base = sentence(r, 60)
+        other = list(base)
+        at = r.randrange(60)
+        for j in range(r.randint(22, 28)):
+            other[(at + j) % 60] = r.choice(VOCABULARY)
+        rows += [(2 * i, " ".join(shared + base)), (2 * i + 1, " ".join(shared + other))]
+    sketch = sketches_of(rows)
+    links = [(a, b) for a in sketch for b in sketch if a < b and 0.46 <= near_dedup.alike(sketch[a][None], sketch[b][None])[0] <= 0.62]
+    assert len(links) > 30
+    found = labels(near_groups(frame(spark, rows), limit=limit))
+    assert sum(found.get(a, -1) == found.get(b, -2) for a, b in links) >= 0.9 * len(links)
+
+
+def test_trees_for_depth():
+    assert [near_dedup.trees_for(d, 0.5, 2, 0.9) for d in (1, 3, 4, 8)] == [2, 4, 4, 7]
+
+
+def test_equal_first_hashes_are_told_apart(spark):
+    """Two signatures of one 64-bit hash stay two records; copies of each stay one."""
+    rows = [(i, i, i, 5, a, bytearray(b"s"), bytearray(b"k")) for i, a in enumerate([1, 1, 2])] + [(9, 9, 9, 6, 1, bytearray(b"s"), bytearray(b"k"))]
+    signed = spark.createDataFrame(rows, "doc_id bigint, k1 bigint, k2 bigint, rec bigint, alt bigint, sig binary, sketch binary")
+    got = {x.doc_id: x.rec for x in near_dedup.apart(signed, near_dedup.Scratch(spark)).collect()}
+    assert got[0] == got[1] != got[2] and got[9] == 6
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "same text here now"), ("a", "same text, here now"), ("c", "quite another text of words")]
+    f = spark.createDataFrame(rows, "doc_id string, text string")
+    assert labels(near_groups(f)) == {"a": "a", "b": "a"}
+    assert sorted(x.doc_id for x in keep_one(f).collect()) == ["a", "c"]

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A join side is broadcast only when its measured size is at most this many bytes.
 BROADCAST_BYTES = 32 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a temporary one in local mode; on a cluster, an error."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="webloom-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -26,10 +30,39 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Cut the lineage of df: write it as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/webloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).keep(df, name)
+
+
+class Scratch:
+    """Tables in the shared folder that can go together once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+        path = f"{scratch_dir(self.spark)}/webloom/{self.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths = []
+
+
+def id_column(docs: DataFrame, name: str) -> Column:
+    """The id as it is, an integer as bigint; ids of any type that can be ordered are carried through."""
+    kind = docs.schema[name].dataType
+    return F.col(f"`{name}`").cast("bigint") if isinstance(kind, IntegralType) else F.col(f"`{name}`")
+
+
+def wide_key(*columns: str, seed: int) -> Column:
+    """64 bits of a hash of the columns, nulls told from absence of a value; two seeds give 128 bits."""
+    marked = [x for c in columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return F.xxhash64(F.lit(seed), *marked)
 
 
 def bound_batches(spark: SparkSession) -> None:
