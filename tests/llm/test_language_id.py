@@ -86,3 +86,67 @@ def test_no_labels_and_no_rows(spark):
     assert [(r.lang, r.keep) for r in rows] == [(None, False)]
     empty = spark.createDataFrame([], DOCS)
     assert L.identify(empty, L.fit(empty)).count() == 0
+
+
+@pytest.mark.parametrize("letters", [10, 60, 500])
+def test_expected_counts_cover_words_of_any_length(letters):
+    """A script without spaces: the expected letters covered are all of the word's, the unknown ones aside."""
+    names = [chr(L.START), *"漢字語文", "漢字", "語文", "字語文"]
+    p = np.full((len(names), 1), 1 / len(names))
+    w = words(pa.array([("漢字語文" * letters)[:letters]]), letters_only=True)
+    counts = L.expected_counts(w, np.array([0]), L.Pieces.of(names), p, np.array([1e-9]), np.ones((1, 1)))
+    assert (counts[:, 0] * [len(n) for n in names]).sum() == pytest.approx(letters + 1, rel=1e-6)
+
+
+def test_long_runs_by_segments_are_the_same_sum(monkeypatch):
+    r = np.random.default_rng(4)
+    names = [chr(L.START), f"{chr(L.START)}a", "a", "b", "ab", "ba", "bab", "c", "abcabcab", "cabcabcabcabcab"]
+    p = r.dirichlet(np.ones(len(names)), 3).T
+    pieces, unknown = L.Pieces.of(names), np.array([1e-4, 1e-9, 1e-3])
+    w = words(pa.array(["".join(r.choice(list("abcabcz"), n)) for n in (1, 5, 40, 300, 1000)]), letters_only=True)
+    want = L.forward(w, np.arange(5), pieces, p, unknown)
+    monkeypatch.setattr(L, "LONG", 1)
+    for segment, at_once in ((256, 1 << 16), (16, 64), (7, 70)):
+        monkeypatch.setattr(L, "SEGMENT", segment)
+        monkeypatch.setattr(L, "AT_ONCE", at_once)
+        assert L.forward(w, np.arange(5), pieces, p, unknown) == pytest.approx(want)
+
+
+def test_a_run_of_fifty_thousand_letters_takes_a_second_or_two(model):
+    import time
+
+    text = pa.array(["".join(np.random.default_rng(1).choice(list("abcdefghijklmnopqrstuvwxyz"), 50_000))])
+    began = time.process_time()
+    (got,) = L.Scorer(model).decide(text)
+    assert got["letters"] == 50_001 and not got["keep"]
+    assert time.process_time() - began < 4
+
+
+def test_languages_without_spaces_are_told_apart():
+    r = np.random.default_rng(2)
+    syllables = {"one": ["กา", "มะ", "นี", "ปลา"], "two": ["ขอ", "รา", "ไม", "ตะ"]}
+    rows = [("".join(r.choice(s, 120)), name) for name, s in syllables.items() for _ in range(100)]
+    found = L.train([t for t, _ in rows[::2]], [name for _, name in rows[::2]])
+    got = L.Scorer(found).decide(pa.array([t for t, _ in rows[1::2]]))
+    assert all(g["lang"] == name for g, (_, name) in zip(got, rows[1::2]))
+
+
+def test_more_than_fifty_languages(spark):
+    """Each of 60 labels keeps its language."""
+    r = np.random.default_rng(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    lexicon = {f"l{i:02}": ["".join(r.choice(list(letters), 7)) for _ in range(8)] for i in range(60)}
+    rows = [(j, " ".join(r.choice(own, 40)), name, 0.0, "") for j, (name, own) in enumerate((n, o) for n, o in lexicon.items() for _ in range(3))]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = L.fit(docs)
+    assert len(found.languages) == 60
+    assert L.fit(docs, languages=["l01", "l02"]).languages == ["l01", "l02"]
+    got = {x.doc_id: x.lang for x in L.identify(docs, found).collect()}
+    assert sum(got[j] == name for j, _, name, _, _ in rows) >= 0.95 * len(rows)
+
+
+def test_ties_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc", "x", 0.0, ""), (2, "aa bb cc", "a", 0.0, ""), (3, "aa bb", None, 0.0, ""), (3, "aa bb", None, 0.0, "")], DOCS)
+    rows = L.identify(docs, L.fit(docs)).collect()
+    assert len(rows) == 4
+    assert {x.lang for x in rows} == {"a"} and {x.margin for x in rows} == {0.0}

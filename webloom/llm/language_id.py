@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import BROADCAST_BYTES, bound_batches, slices, small_side
 from .words import INVERSE, MULT, Words, mix, powers, words
 
 TOKENIZERS = os.environ.get("WEBLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -106,60 +107,143 @@ def columns_of(w: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return order, length, run
 
 
+SEGMENT = 256  # letters of a long run that are followed one after another
+LONG = 1024  # letters from which a run is cut into segments
+AT_ONCE = 1 << 16  # letters of a long run whose segments are followed at once
+
+
+def long_run(code: np.ndarray, pieces: Pieces, p: np.ndarray, unknown: np.ndarray) -> np.ndarray:
+    """log P(run | language) of one long run of letters (code points, the start mark first): the same sum over all segmentations.
+
+    What a segment does to the last LONGEST prefix sums is linear. All segments are followed side by side, each from every unit
+    vector of these sums, and the matrices so found are applied in order; so the loop is as long as a segment, not as the run.
+    """
+    n, languages, back = len(code), p.shape[1], pieces.longest
+    state = np.zeros((back, languages))  # sums at the place reached and those before it
+    state[0] = 1
+    scale = np.zeros(languages)
+    for begin in range(0, n, AT_ONCE):
+        size = min(AT_ONCE, n - begin)
+        many = -(-size // SEGMENT)
+        before = min(begin, back)
+        some = code[begin - before : begin + size].astype(np.uint64) + np.uint64(1)
+        up, down = powers(1 << max(16, len(some).bit_length()))
+        run = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(some * up[: len(some)], out=run[1:])
+        arc = np.zeros((back, many * SEGMENT, languages))  # [letters - 1, place of the last letter]: probability of the piece that ends there
+        for k in range(1, back + 1):
+            ends = np.arange(max(before + 1, k), len(some) + 1)
+            ids = pieces.find((run[ends] - run[ends - k]) * down[ends - k])
+            hit = np.flatnonzero(ids >= 0)
+            arc[k - 1, ends[hit] - before - 1] = p[ids[hit]]
+        arc[0, (1 if begin == 0 else 0) : size] += unknown
+        arc[0, size:] = 1  # places after the run's end pass the sum on
+        arc = arc.reshape(back, many, SEGMENT, languages)
+        window = np.zeros((back, back, many, languages))  # [places back, unit vector, segment, language]
+        window[np.arange(back), np.arange(back)] = 1
+        shrunk = np.zeros((many, languages))
+        for at in range(SEGMENT):
+            new = np.einsum("kbsl,ksl->bsl", window, arc[:, :, at])
+            window = np.concatenate([new[None], window[:-1]])
+            if at % 12 == 11:
+                top = np.maximum(window.max(axis=(0, 1)), 1e-300)
+                window /= top
+                shrunk += np.log(top)
+        for s in range(many):
+            state = np.einsum("kbl,bl->kl", window[:, :, s], state)
+            top = state.max(axis=0)
+            state /= top
+            scale += shrunk[s] + np.log(top)
+    with np.errstate(divide="ignore"):
+        return np.log(state[0]) + scale
+
+
+def groups_of(lengths: np.ndarray, languages: int) -> Iterator[np.ndarray]:
+    """Words of like lengths, as many at once as a few MB hold."""
+    edges = [0, 8, 12, 16, 24, 40, 64, 128, 512, 4096, 1 << 40]
+    for a, b in zip(edges, edges[1:]):
+        group = np.flatnonzero((lengths >= a) & (lengths < b))
+        step = max(1, (1 << 20) // (min(b, 1 << 18) * max(4, languages)))
+        for at in range(0, len(group), step):
+            yield group[at : at + step]
+
+
 def forward(w: Words, pick: np.ndarray, pieces: Pieces, p: np.ndarray, unknown: np.ndarray, expect: np.ndarray | None = None) -> np.ndarray:
     """log P(word | language), the sum over all segmentations into pieces, of each picked word: [len(pick), languages].
 
-    A letter can also be read as unknown, at the probability unknown. With expect (weights [len(pick), languages]) the expected
-    counts of the pieces are returned instead, by the backward pass.
+    A letter can also be read as unknown, at the probability unknown. Runs of LONG letters or more go by segments. With expect
+    (weights [len(pick), languages]) expected_counts() are returned instead.
     """
+    if expect is not None:
+        return expected_counts(w, pick, pieces, p, unknown, expect)
     languages = p.shape[1]
     out = np.zeros((len(pick), languages))
-    counts = np.zeros_like(p)
     lengths = w.end[pick] - w.start[pick]
-    edges = [0, 8, 12, 16, 24, 40, 64, 128, 512, 4096, 1 << 40]
-    for a, b in zip(edges, edges[1:]):
-        group = np.flatnonzero((lengths >= a) & (lengths < b))
-        step = max(1, (1 << 18) // min(b, 1 << 18))
-        for at in range(0, len(group), step):
-            part = group[at : at + step]
-            order, length, run = columns_of(w, pick[part])
-            deep = int(length[0])
-            _, down = powers(1 << max(16, deep.bit_length()))
-            alpha = np.zeros((deep + 1, len(part), languages))
-            alpha[0] = 1
-            scale = np.zeros((len(part), languages))
-            arcs = []
-            for end in range(1, deep + 1):
-                n = int(np.searchsorted(-length, -end, side="right"))  # words of at least end places
-                if end > 1:
-                    alpha[end, :n] = alpha[end - 1, :n] * unknown
-                for start in range(max(0, end - pieces.longest), end):
-                    ids = pieces.find((run[end, :n] - run[start, :n]) * down[start])
-                    hit = np.flatnonzero(ids >= 0)
-                    if len(hit):
-                        alpha[end, hit] += alpha[start, hit] * p[ids[hit]]
-                        if expect is not None:
-                            arcs.append((start, end, hit, ids[hit]))
-                if expect is None and end % 12 == 0:  # keep the numbers in range
-                    low = max(0, end - pieces.longest + 1)
-                    top = alpha[low : end + 1, :n].max(axis=0)
-                    alpha[low : end + 1, :n] /= top
-                    scale[:n] += np.log(top)
-            last = alpha[length, np.arange(len(part))]
-            if expect is None:
-                out[part[order]] = np.log(last) + scale
-                continue
-            beta = np.zeros_like(alpha)
-            beta[length, np.arange(len(part))] = expect[part[order]] / np.maximum(last, 1e-300)
-            done = deep + 1
-            for start, end, hit, ids in reversed(arcs):
-                while done > end:  # the unknown arc into the places after end
-                    done -= 1
-                    if done > 1:
-                        beta[done - 1] += beta[done] * unknown
-                beta[start, hit] += beta[end, hit] * p[ids]
-                np.add.at(counts, ids, alpha[start, hit] * p[ids] * beta[end, hit])
-    return out if expect is None else counts
+    for i in np.flatnonzero(lengths >= LONG).tolist():
+        out[i] = long_run(np.concatenate([[np.uint32(START)], w.codes[w.start[pick[i]] : w.end[pick[i]]]]), pieces, p, unknown)
+    short = np.flatnonzero(lengths < LONG)
+    for part in groups_of(lengths[short], languages):
+        part = short[part]
+        order, length, run = columns_of(w, pick[part])
+        deep = int(length[0])
+        _, down = powers(1 << max(16, deep.bit_length()))
+        alpha = np.zeros((deep + 1, len(part), languages))
+        alpha[0] = 1
+        scale = np.zeros((len(part), languages))
+        for end in range(1, deep + 1):
+            n = int(np.searchsorted(-length, -end, side="right"))  # words of at least end places
+            if end > 1:
+                alpha[end, :n] = alpha[end - 1, :n] * unknown
+            for start in range(max(0, end - pieces.longest), end):
+                ids = pieces.find((run[end, :n] - run[start, :n]) * down[start])
+                hit = np.flatnonzero(ids >= 0)
+                if len(hit):
+                    alpha[end, hit] += alpha[start, hit] * p[ids[hit]]
+            if end % 12 == 0:  # keep the numbers in range
+                low = max(0, end - pieces.longest + 1)
+                top = alpha[low : end + 1, :n].max(axis=0)
+                alpha[low : end + 1, :n] /= top
+                scale[:n] += np.log(top)
+        out[part[order]] = np.log(alpha[length, np.arange(len(part))]) + scale
+    return out
+
+
+def expected_counts(w: Words, pick: np.ndarray, pieces: Pieces, p: np.ndarray, unknown: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in the segmentations of the picked words, each counting weight [len(pick), languages]: forward and
+    backward sums, both as logarithms, so that words of any length are in range. [pieces, languages]"""
+    languages = p.shape[1]
+    counts = np.zeros_like(p)
+    with np.errstate(divide="ignore"):
+        log_p, log_unknown = np.log(p), np.log(unknown)
+    for part in groups_of(w.end[pick] - w.start[pick], 4 * languages):
+        order, length, run = columns_of(w, pick[part])
+        deep = int(length[0])
+        _, down = powers(1 << max(16, deep.bit_length()))
+        alpha = np.full((deep + 1, len(part), languages), -np.inf)
+        alpha[0] = 0
+        arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(deep)]  # by start
+        for end in range(1, deep + 1):
+            n = int(np.searchsorted(-length, -end, side="right"))
+            if end > 1:
+                alpha[end, :n] = alpha[end - 1, :n] + log_unknown
+            for start in range(max(0, end - pieces.longest), end):
+                ids = pieces.find((run[end, :n] - run[start, :n]) * down[start])
+                hit = np.flatnonzero(ids >= 0)
+                if len(hit):
+                    alpha[end, hit] = np.logaddexp(alpha[end, hit], alpha[start, hit] + log_p[ids[hit]])
+                    arcs[start].append((end, hit, ids[hit]))
+        last = alpha[length, np.arange(len(part))]
+        beta = np.full_like(alpha, -np.inf)
+        beta[length, np.arange(len(part))] = 0
+        own = weight[part[order]]
+        for start in range(deep - 1, -1, -1):
+            if start:
+                beta[start] = np.logaddexp(beta[start], beta[start + 1] + log_unknown)
+            for end, hit, ids in arcs[start]:
+                ahead = beta[end, hit] + log_p[ids]
+                beta[start, hit] = np.logaddexp(beta[start, hit], ahead)
+                np.add.at(counts, ids, own[hit] * np.exp(alpha[start, hit] + ahead - last[hit]))
+    return counts
 
 
 @dataclass
@@ -190,10 +274,10 @@ class Model:
 
 
 class Scorer:
-    """Scores texts; words met before are looked up (a bounded store by word hash)."""
+    """Scores texts; words met before are looked up (a store by word hash, bounded in words and in bytes)."""
 
-    def __init__(self, model: Model, store: int = 400_000):
-        self.model, self.store = model, store
+    def __init__(self, model: Model, store: int = 400_000, store_bytes: int = 12 << 20):
+        self.model, self.store = model, min(store, store_bytes // (8 * (1 + len(model.languages))))
         self.known, self.value = np.zeros(0, np.uint64), np.zeros((0, len(model.languages)))
         self.new: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -237,7 +321,8 @@ class Scorer:
 
 
 def train(texts: list[str], labels: list[str], tokenizers: str = TOKENIZERS, rounds: int = 3, slack: float = 2.0) -> Model:
-    """Piece probabilities of each language by expectation maximisation over all segmentations of the training words."""
+    """Piece probabilities of each language by expectation maximisation over all segmentations of the training words. For this alone, runs of
+    over 1000 letters are learned from a thousand letters at a time."""
     languages = sorted(set(labels))
     names = vocabulary(f"{tokenizers}/piece_bpe_32k.model")
     pieces = Pieces.of(names)
@@ -248,6 +333,7 @@ def train(texts: list[str], labels: list[str], tokenizers: str = TOKENIZERS, rou
     if not languages:
         return model
     label = np.array([number[x] for x in labels])
+    texts = [re.sub(r"([^\W\d_]{1000})(?=[^\W\d_])", r"\1 ", t) for t in texts]
     spelled: dict[int, str] = {}
     hashes, rows, sizes, seen = [], [], [], 0
     for part in slices(pa.array(texts, pa.large_string())):
@@ -267,7 +353,7 @@ def train(texts: list[str], labels: list[str], tokenizers: str = TOKENIZERS, rou
     np.add.at(weight, (inverse, label[row]), 1)
     weight += 1e-3 * weight.sum(axis=1, keepdims=True) / count  # words of other languages are possible
     for _ in range(rounds):
-        expected = forward(w, first, pieces, model.p, model.unknown, weight)
+        expected = expected_counts(w, first, pieces, model.p, model.unknown, weight)
         expected += 1e-2
         model.p = expected / expected.sum(axis=0)
         model.unknown = model.p.min(axis=0) * 1e-2
@@ -282,16 +368,23 @@ def train(texts: list[str], labels: list[str], tokenizers: str = TOKENIZERS, rou
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 500, tokenizers: str = TOKENIZERS, slack: float = 2.0) -> Model:
-    """Train on about train_docs labelled texts of each language (at most 50 of which are used), picked by the hash of doc_id."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    found = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(50).collect()
+def fit(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 500, tokenizers: str = TOKENIZERS, slack: float = 2.0, languages: list[str] | None = None, train_letters: int = 4_000_000, broadcast_bytes: int = BROADCAST_BYTES
+) -> Model:
+    """Train on labelled texts: of each language (all labels there are, or the given ones) about train_docs rows, or as many whole texts as
+    hold about train_letters letters if those are fewer, picked by the hash of doc_id. All else about the corpus is left to scoring."""
+    spark = docs.sparkSession
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("lang is not null and text is not null")
+    if languages is not None:
+        src = src.where(F.col("lang").isin(languages))
+    found = src.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("letters")).collect()
+    if not found:
+        return train([], [], tokenizers, slack=slack)
     spread = 1 << 30
+    shares = spark.createDataFrame([(r["lang"], int(min(1, train_docs / r["rows"], train_letters / max(1, r["letters"])) * spread)) for r in found], "lang string, share bigint")
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(spread))
-    share = F.lit(False)
-    for r in found:
-        share = share | ((F.col("lang") == r["lang"]) & (draw < int(min(1, train_docs / r["count"]) * spread)))
-    rows = src.where(share).select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * train_docs * max(1, len(found))).collect()
+    picked = src.join(small_side(shares, len(found), 64, broadcast_bytes), "lang").where(draw < F.col("share"))
+    rows = picked.select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * train_docs * len(found)).collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows], tokenizers, slack=slack)
 
 
@@ -316,20 +409,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     letters and for those that score lower than any training language's texts do, by slack nats a letter (more for short texts).
     The model (pieces x languages) travels with the task and texts are read once, in place: no shuffle.
 
+    Unbroken runs of any length are summed over like other words, in time in proportion to their letters.
+
     Null and empty texts: lang, score and margin null, letters 0, keep false. Ties go to the language that sorts first.
     Repeated rows and null ids are judged like others; an empty table gives no rows; without labelled texts lang is null
     and keep false everywhere. Other columns are not read, whatever their names.
     """
     bound_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return src.select("doc_id", decide_udf(model)("text").alias("r")).select("doc_id", "r.*")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that identify() keeps, with lang_col set to the language found; columns stay as they are."""
+    """The rows of docs that identify() keeps, with lang_col set to the language found; columns stay as they are. Null, empty and letterless
+    texts go, repeated rows fare alike, ties go to the language that sorts first, an empty table stays empty; columns may have any name."""
     bound_batches(docs.sparkSession)
     names, mark = docs.columns, "__language"
     while mark in names:
         mark += "_"
-    marked = docs.withColumn(mark, decide_udf(model)(F.col(text_col))).where(F.col(f"{mark}.keep"))
+    judge = decide_udf(model).asNondeterministic()  # else the filter would have a call of its own
+    marked = docs.withColumn(mark, judge(F.col(f"`{text_col}`"))).where(F.col(f"{mark}.keep"))
     return marked.select(*[F.col(f"{mark}.lang").alias(c) if c == lang_col else F.col(f"`{c}`") for c in names])

@@ -34,13 +34,13 @@ _powers: list[np.ndarray] = []
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """MULT ** i and its inverse modulo 2 ** 64, for i below size. Of all sizes the largest is kept, one longer than a text of a few MB is not."""
+    """MULT ** i and its inverse modulo 2 ** 64, for i below size. Of all sizes the largest is kept, up to a million (16 MB)."""
     if not _powers or len(_powers[0]) < size:
         up, down = np.full(size, MULT, np.uint64), np.full(size, INVERSE, np.uint64)
         up[0] = down[0] = 1
         np.cumprod(up, out=up)
         np.cumprod(down, out=down)
-        if size > 1 << 22:
+        if size > 1 << 20:
             return up, down
         _powers[:] = [up, down]
     return _powers[0][:size], _powers[1][:size]
