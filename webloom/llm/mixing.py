@@ -6,15 +6,15 @@ import math
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bound_batches, materialize, small_side
+from .common import BROADCAST_BYTES, Scratch, bound_batches, id_column, small_side, wide_key
 from .language_id import TOKENIZERS
 from .tokens import count_udf
 
 EPS = 1e-9
-UNITS = "key bigint, source string, m bigint, t bigint, p double"
+UNITS = "k1 bigint, k2 bigint, source string, m bigint, t bigint, p double"
 
 
 def flight(m: list[float], t: list[float], p: list[float], draw: random.Random) -> list[float]:
@@ -85,63 +85,86 @@ def rates(totals: dict[str | None, int], weights: dict[str | None, float] | None
     return {s: share[s] * budget / live[s] if s in live else 1.0 for s in totals}
 
 
-def fly(seed: int):
+def source_rates(sources: DataFrame, weights: dict[str | None, float] | None, budget: float | None, temperature: float) -> DataFrame:
+    """sources (source, t tokens, n) with rate, as rates() gives it, by column arithmetic: the driver sees sums alone."""
+    spark = sources.sparkSession
+    if weights is None:
+        weighed = sources.withColumn("w", F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(float(temperature)))))
+    else:
+        given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, w double")
+        weighed = sources.join(given, F.expr("source <=> name"), "left").select("source", "t", "n", F.when(F.col("t") > 0, F.coalesce("w", F.lit(0.0))).alias("w"))
+    sums = weighed.agg(F.sum("w").alias("w"), F.min(F.when(F.col("w") > 0, F.col("t") / F.col("w"))).alias("least")).first()
+    total = sums["w"] or 0.0
+    if total <= 0:
+        return weighed.select("source", "t", "n", F.when(F.col("w").isNull(), F.lit(1.0)).otherwise(F.lit(0.0)).alias("rate"))
+    size = float(budget) if budget is not None else sums["least"] * total
+    return weighed.select("source", "t", "n", F.when(F.col("w").isNull(), F.lit(1.0)).otherwise(F.col("w") / F.lit(total) * F.lit(size) / F.col("t")).alias("rate"))
+
+
+def fly(seed: int, landing: bool = False):
+    """A group's flight; with landing, what is then fractional lands."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key").reset_index(drop=True)
-        draw = random.Random(f"{seed}:{pdf['key'].iloc[0]}:{len(pdf)}")
+        pdf = pdf.sort_values(["k1", "k2"]).reset_index(drop=True)
+        draw = random.Random(f"{seed}:{pdf['k1'].iloc[0]}:{len(pdf)}")
         order = list(range(len(pdf)))
         draw.shuffle(order)
         pdf = pdf.iloc[order].reset_index(drop=True)
-        pdf["p"] = flight(pdf["m"].astype(float).tolist(), pdf["t"].astype(float).tolist(), pdf["p"].tolist(), draw)
-        return pdf[["key", "source", "m", "t", "p"]]
+        m = pdf["m"].astype(float).tolist()
+        p = flight(m, pdf["t"].astype(float).tolist(), pdf["p"].tolist(), draw)
+        pdf["p"] = land(m, p, draw) if landing else p
+        return pdf[["k1", "k2", "source", "m", "t", "p"]]
 
     return run
 
 
-def key_of(id_col: str, text_col: str, source_col: str):
-    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col))
+def keys_of(id_col: str, text_col: str, source_col: str, k1: str, k2: str) -> list[Column]:
+    """128 bits by which rows that are equal in all three columns are known."""
+    return [wide_key(id_col, text_col, source_col, seed=1).alias(k1), wide_key(id_col, text_col, source_col, seed=2).alias(k2)]
 
 
 def decide(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, budget: float | None = None, temperature: float = 0.7, seed: int = 11, bucket: int = 4096, tokenizers: str = TOKENIZERS, budget_share: float = 1.0
+    docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict[str | None, float] | None = None, budget: float | None = None, temperature: float = 0.7, seed: int = 11, bucket: int = 4096, tokenizers: str = TOKENIZERS, budget_share: float = 1.0, broadcast_bytes: int = BROADCAST_BYTES
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, picks): rows (key, doc_id, source, n_tokens) of all docs; picks (key, rate, copies) of their distinct keys."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    rows = materialize(docs.select(key_of(id_col, text_col, source_col).alias("key"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).cast("string").alias("source"), count_udf(tokenizers)(F.col(text_col)).alias("n_tokens")), "rows")
-    found = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    """(rows, picks): rows (k1, k2, doc_id, source, n_tokens) of all docs; picks (k1, k2, rate, copies) of their distinct keys."""
+    bound_batches(docs.sparkSession)
+    rows = scratch.keep(docs.select(*keys_of(id_col, text_col, source_col, "k1", "k2"), id_column(docs, id_col).alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), count_udf(tokenizers)(F.col(f"`{text_col}`")).alias("n_tokens")), "rows")
+    sources = scratch.keep(rows.groupBy("source").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")), "sources")
+    seen = sources.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
     if budget is None:  # a share of all tokens, so that no single source sets the size of the mixture
-        budget = budget_share * sum(r["t"] for r in found)
-    rate = rates({r["source"]: r["t"] for r in found}, weights, budget, temperature)
-    per = spark.createDataFrame([(r["source"], float(rate[r["source"]]), -(-r["n"] // bucket)) for r in found], "source string, rate double, buckets bigint")
-    per = F.broadcast(per)
+        budget = budget_share * seen["t"]
+    per = scratch.keep(source_rates(sources, weights, budget, temperature), "rates")
+    by_source = lambda df: small_side(df, seen["n"], 64, broadcast_bytes)
     same = F.expr("u.source <=> r.source")
     # rows that are equal in all three columns are one unit and share a fate
-    units = rows.groupBy("key").agg(F.first("source").alias("source"), F.count(F.lit(1)).alias("m"), F.sum("n_tokens").alias("t"))
-    state = units.alias("u").join(per.alias("r"), same).select("key", "u.source", "m", "t", (F.col("rate") - F.floor("rate")).alias("p"), "buckets")
-    done = []
-    level = 0
-    while True:
-        spread = state.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed + level)), F.col("buckets")))
-        flown = materialize(spread.groupBy("source", "bucket").applyInPandas(fly(seed + level), UNITS), "flown")
-        done.append(flown.where("p = 0 or p = 1"))
-        left = flown.where("p > 0 and p < 1")
-        counts = left.groupBy("source").count().collect()
+    units = rows.groupBy("k1", "k2", "source").agg(F.count(F.lit(1)).alias("m"), F.sum("n_tokens").alias("t"))
+    state = units.alias("u").join(by_source(per).alias("r"), same).select("k1", "k2", "u.source", "m", "u.t", (F.col("rate") - F.floor("rate")).alias("p"), F.ceil(F.col("n") / bucket).alias("buckets"))
+    fractional, done, level = (F.col("p") > 0) & (F.col("p") < 1), [], 0
+    while True:  # within each source
+        spread = state.withColumn("bucket", F.pmod(F.xxhash64("k1", F.lit(seed + level)), F.col("buckets")))
+        flown = scratch.keep(spread.groupBy("source", "bucket").applyInPandas(fly(seed + level), UNITS), "flown")
+        done.append(flown.where(~fractional))
+        left = flown.where(fractional)
+        counts = left.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+        most = counts.agg(F.max("n").alias("most"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         level += 1
-        if all(r["count"] <= bucket for r in counts) and level > 1:
+        if (most["most"] or 0) <= 2:
+            break
+        state = left.alias("u").join(by_source(counts).alias("r"), same).select("k1", "k2", "u.source", "m", "t", "p", F.ceil(F.col("n") / bucket).alias("buckets"))
+    many = most["n"]
+    while many:  # at most two units a source are fractional: balance the whole, then land
+        parts = -(-many // bucket)
+        spread = left.withColumn("bucket", F.pmod(F.xxhash64("k1", F.lit(seed + level)), F.lit(parts)))
+        flown = scratch.keep(spread.groupBy("bucket").applyInPandas(fly(seed + level, landing=parts == 1), UNITS), "landed")
+        done.append(flown.where(~fractional))
+        if parts == 1:
             break
-        sizes = spark.createDataFrame([(r["source"], -(-r["count"] // bucket)) for r in counts], "source string, buckets bigint")
-        state = left.alias("u").join(F.broadcast(sizes).alias("r"), same).select("key", "u.source", "m", "t", "p", "buckets")
-    # now at most two units a source are fractional: balance the whole, then land
-    last = left.orderBy("key").collect()
-    draw = random.Random(f"{seed}:land")
-    m, t = [float(r["m"]) for r in last], [float(r["t"]) for r in last]
-    p = land(m, flight(m, t, [r["p"] for r in last], draw), draw)
-    ended = spark.createDataFrame([(r["key"], r["source"], r["m"], r["t"], x) for r, x in zip(last, p)], UNITS)
-    picks = ended
-    for d in done:
+        left = flown.where(fractional)
+        many, level = left.count(), level + 1
+    picks = done[0]
+    for d in done[1:]:
         picks = picks.unionByName(d)
-    picks = picks.alias("u").join(per.alias("r"), same).select("key", "rate", (F.floor("rate") + F.col("p").cast("bigint")).alias("copies"))
+    picks = picks.alias("u").join(by_source(per).alias("r"), same).select("k1", "k2", "rate", (F.floor("rate") + F.col("p").cast("bigint")).alias("copies"))
     return rows, picks
 
 
@@ -152,22 +175,30 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     source. Without a budget the mixture has budget_share of all tokens, whatever the sources' sizes: rows of sources whose
     share of the weights is over their share of the tokens are repeated (rate over 1), those of others thinned out. Within each source the cube method keeps the totals of documents and of tokens at their targets: inclusion
     probabilities move through the null space of both constraints in buckets of equal size, at most two units a bucket stay
-    fractional and go into buckets of the next level, and the last two of each source are balanced over all and then landed.
-    Text is read once for token counts; what is shuffled is 24 bytes a row. The driver holds two rows a source.
-
-    Null and empty texts have 0 tokens and take part in the document total alone. A null source is a source of its own. Rows
-    equal in doc_id, text and source are one unit: all enter or none. A source without weight is left out; one without tokens
-    stays whole. An empty table gives no rows; columns that are not named are not read.
+    fractional and go into buckets of the next level; the last two of each source are balanced over all, in buckets again, and
+    then landed. Text is read once for token counts; what is shuffled is 40 bytes a row. The driver sees counts and sums alone,
+    and the table of sources is broadcast only when it is within broadcast_bytes.
+
+    Null and empty texts have 0 tokens and take part in the document total alone; very long ones count like others. A null source
+    is a source of its own. Rows equal in doc_id, text and source are one unit (by a hash of 128 bits): all enter or none. A
+    source without weight is left out; one without tokens stays whole. An empty table gives no rows; ids may have any type;
+    columns that are not named are not read.
     """
-    rows, picks = decide(docs, **options)
-    return rows.join(picks, "key").select("doc_id", "source", "n_tokens", "rate", "copies")
+    scratch, out = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows, picks = decide(docs, scratch, **options)
+    result = out.keep(rows.join(picks, ["k1", "k2"]).select("doc_id", "source", "n_tokens", "rate", "copies"), "mixed")
+    scratch.drop()
+    return result
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
-    """The rows of docs that mix() picks, each as often as it is picked; columns stay as they are."""
-    _, picks = decide(docs, id_col, text_col, source_col, **options)
-    picks = materialize(picks.where("copies > 0").select(F.col("key").alias("__key"), F.col("copies").alias("__copies")), "picks")
-    names = [c for c in docs.columns]
-    marked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], key_of(id_col, text_col, source_col).alias("__key"))
-    picked = marked.join(small_side(picks, picks.count(), 48, broadcast_bytes), "__key")
+    """The rows of docs that mix() picks, each as often as it is picked; columns stay as they are. Nulls, empty texts, repeated rows and an
+    empty table fare as in mix(); other columns may have any name."""
+    scratch, out = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    _, picks = decide(docs, scratch, id_col, text_col, source_col, broadcast_bytes=broadcast_bytes, **options)
+    picks = out.keep(picks.where("copies > 0").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("copies").alias("__copies")), "picks")
+    scratch.drop()
+    names = docs.columns
+    marked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *keys_of(id_col, text_col, source_col, "__k1", "__k2"))
+    picked = marked.join(small_side(picks, picks.count(), 64, broadcast_bytes), ["__k1", "__k2"])
     return picked.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
