@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import bound_batches, materialize, slices
+from .common import BROADCAST_BYTES, Scratch, bound_batches, id_column, slices, small_side
 from .language_id import TOKENIZERS
 from .tokens import encode
 
-STATE = "kind int, id bigint, size int, doc_id bigint, chunk bigint"  # kind 1: a gap of a bin, 0: a piece to place
-SWEPT = STATE + ", part int, rank bigint, bin_id bigint, bin_offset int"
+# kind 1: a gap of a bin, 0: a piece to place; swept rows have more
+STATE = ["kind", "id", "size", "doc_id", "chunk"]
+SWEPT = "part int, rank bigint, bin_id bigint, bin_offset int"
 RESULT = ["bin_id", "doc_id", "chunk", "bin_offset", "n_tokens"]
 
 
@@ -34,7 +36,8 @@ def counted(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenize
             number += int(pieces.sum())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(first)], ["doc_id", "n_tokens", "first"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, first bigint")
+    src = docs.select(id_column(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return src.mapInArrow(run, StructType([src.schema["doc_id"], *StructType.fromDDL("n_tokens bigint, first bigint").fields]))
 
 
 def ranges(histogram: dict[int, int], rows_per_part: int) -> list[tuple[int, int, int]]:
@@ -85,7 +88,7 @@ def sweep(capacity: int):
         open_gaps = open_gaps[np.argsort(now[open_gaps], kind="stable")]
         rank[open_gaps] = np.arange(len(open_gaps))
         pdf["rank"] = rank
-        return pdf[["kind", "id", "size", "doc_id", "chunk", "part", "rank", "bin_id", "bin_offset"]]
+        return pdf[[*STATE, "part", "rank", "bin_id", "bin_offset"]]
 
     return run
 
@@ -115,27 +118,31 @@ def settle(parts: list[dict]) -> list[tuple[int, int, int, int, int, int]]:
     return plan
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizers: str = TOKENIZERS, rows_per_part: int = 250_000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, tokenizers: str = TOKENIZERS, rows_per_part: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Pack token sequences into bins of capacity tokens: (bin_id, doc_id, chunk, bin_offset, n_tokens), one row a piece.
 
     A text of more than capacity tokens is cut into chunks of capacity, the last with the rest; chunk numbers them and
     full chunks have bins of their own. The other pieces are placed in rounds. In a round pieces and gaps are range
-    partitioned by size (the histogram has at most 2 * capacity rows, whatever the input), each range is swept for the best
-    fit, leftover pieces are matched to leftover gaps of higher ranges by rank, gaps are updated, and where free space is
-    short or a round places little, the largest pieces left open bins, as many as the rest needs. Only numbers are shuffled,
-    no text; each round is written to the shared folder.
+    partitioned by size (the histogram has at most capacity rows, whatever the input) into ranges of about rows_per_part rows (a
+    64th of all, 20 000 at least and 250 000 at most, unless given), each range is swept for the best fit, leftover pieces are
+    matched to leftover gaps of higher ranges by rank, gaps are updated, and where free space is short or a round places little,
+    the largest pieces left open bins, as many as the rest needs. Only numbers are shuffled, no text; each round is written to
+    the shared folder. Tables with a row a range are broadcast only when they are within broadcast_bytes.
 
     Null and empty texts have no tokens and give no rows. Repeated rows are pieces like others (each row is packed once);
-    a null doc_id stays null. Ties go by row number. An empty table gives no rows; other columns are not read.
+    a null doc_id stays null; ids may have any type. Ties go by row number. An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    sizes = materialize(counted(docs, id_col, text_col, capacity, tokenizers), "sizes").where("n_tokens > 0")
+    tokens, out = Scratch(spark), Scratch(spark)
+    sizes = tokens.keep(counted(docs, id_col, text_col, capacity, tokenizers), "sizes").where("n_tokens > 0")
+    none_id, none = F.lit(None).cast(sizes.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("bigint").alias("chunk")
     pieces = sizes.select("doc_id", "first", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_tokens - 1) div {capacity}"))).alias("chunk")).select(
         F.lit(0).alias("kind"), (F.col("first") + F.col("chunk")).alias("id"), F.least(F.lit(capacity), F.col("n_tokens") - F.col("chunk") * capacity).cast("int").alias("size"), "doc_id", "chunk"
     )
-    placed = [pieces.where(F.col("size") == capacity).select(F.col("id").alias("bin_id"), "doc_id", "chunk", F.lit(0).alias("bin_offset"), F.col("size").alias("n_tokens"))]
-    state = pieces.where(F.col("size") < capacity)
+    swept_rows = StructType([StructField(c, pieces.schema[c].dataType) for c in STATE] + StructType.fromDDL(SWEPT).fields)
+    placed = [out.keep(pieces.where(F.col("size") == capacity).select(F.col("id").alias("bin_id"), "doc_id", "chunk", F.lit(0).alias("bin_offset"), F.col("size").alias("n_tokens")), "full")]
+    state, before = pieces.where(F.col("size") < capacity), tokens
     while True:
         histogram: dict[int, int] = {}
         loose = free = 0
@@ -147,9 +154,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
                 loose += r["count"]
         if not loose:
             break
-        bounds = spark.createDataFrame(ranges(histogram, rows_per_part), "size int, first int, many int")
-        keyed = state.join(F.broadcast(bounds), "size").withColumn("part", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int"))
-        swept = materialize(keyed.select("kind", "id", "size", "doc_id", "chunk", "part").groupBy("part").applyInPandas(sweep(capacity), SWEPT), "swept")
+        now, ended = Scratch(spark), Scratch(spark)
+        each_part = rows_per_part or min(250_000, max(20_000, sum(histogram.values()) // 64))
+        bounds = spark.createDataFrame(ranges(histogram, each_part), "size int, first int, many int")
+        keyed = state.join(small_side(bounds, len(histogram), 16, broadcast_bytes), "size").withColumn("part", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("many"))).cast("int"))
+        swept = now.keep(keyed.select(*STATE, "part").groupBy("part").applyInPandas(sweep(capacity), swept_rows), "swept")
         is_loose, is_gap = (F.col("kind") == 0) & (F.col("rank") >= 0), (F.col("kind") == 1) & (F.col("rank") >= 0)
         parts = [
             r.asDict()
@@ -173,36 +182,37 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             opens.append((p["part"], p["taken"], p["taken"] + n))
             todo -= n
         steps = spark.createDataFrame(opens, "part int, taken bigint, opened bigint")
-        loose_rows = swept.where(is_loose).join(F.broadcast(steps), "part")
+        loose_rows = swept.where(is_loose).join(small_side(steps, len(opens), 32, broadcast_bytes), "part")
         gap_rows = swept.where("kind = 1")
         inside = swept.where("kind = 0 and rank < 0").select("bin_id", "doc_id", "chunk", "bin_offset", F.col("size").alias("n_tokens"))
         starts = loose_rows.where("rank >= taken and rank < opened")
-        new = [inside, starts.select(F.col("id").alias("bin_id"), "doc_id", "chunk", F.lit(0).alias("bin_offset"), F.col("size").alias("n_tokens"))]
-        after = [
-            loose_rows.where("rank >= opened").select("kind", "id", "size", "doc_id", "chunk"),
-            starts.select(F.lit(1).alias("kind"), "id", (F.lit(capacity) - F.col("size")).alias("size"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("chunk")),
-        ]
+        new = inside.unionByName(starts.select(F.col("id").alias("bin_id"), "doc_id", "chunk", F.lit(0).alias("bin_offset"), F.col("size").alias("n_tokens")))
+        after = loose_rows.where("rank >= opened").select(*STATE).unionByName(starts.select(F.lit(1).alias("kind"), "id", (F.lit(capacity) - F.col("size")).alias("size"), none_id, none))
         if plan:
-            links = F.broadcast(spark.createDataFrame(plan, "part int, from_rank bigint, n bigint, gap_part int, gap_rank bigint, each bigint"))
+            links = small_side(spark.createDataFrame(plan, "part int, from_rank bigint, n bigint, gap_part int, gap_rank bigint, each bigint"), len(plan), 48, broadcast_bytes)
             sent = loose_rows.where("rank < taken").join(links, "part").where("rank >= from_rank and rank < from_rank + n")
             sent = sent.withColumn("slot", F.col("rank") - F.col("from_rank")).select(F.col("gap_part").alias("part"), (F.col("gap_rank") + F.expr("slot div each")).alias("rank"), "doc_id", "chunk", F.col("size").alias("n_tokens"), "id")
+            # a gap takes at most capacity pieces
             taken = sent.groupBy("part", "rank").agg(F.sort_array(F.collect_list(F.struct(F.col("n_tokens"), F.col("id"), F.col("doc_id"), F.col("chunk"))), asc=False).alias("got"))
-            met = materialize(gap_rows.where("rank >= 0").select("part", "rank", F.col("id").alias("bin_id"), F.col("size").alias("gap")).join(taken, ["part", "rank"]), "met")
+            met = now.keep(gap_rows.where("rank >= 0").select("part", "rank", F.col("id").alias("bin_id"), F.col("size").alias("gap")).join(taken, ["part", "rank"]), "met")
             used = F.aggregate("got", F.lit(0), lambda a, x: a + x["n_tokens"])
             exploded = met.select("bin_id", "gap", "got", F.posexplode("got").alias("pos", "g"))
-            before = F.aggregate(F.slice("got", F.lit(1), F.col("pos")), F.lit(0), lambda a, x: a + x["n_tokens"])
-            new.append(exploded.select("bin_id", "g.doc_id", "g.chunk", (F.lit(capacity) - F.col("gap") + before).cast("int").alias("bin_offset"), "g.n_tokens"))
-            none = F.lit(None).cast("bigint")
-            after.append(met.select(F.lit(1).alias("kind"), F.col("bin_id").alias("id"), (F.col("gap") - used).cast("int").alias("size"), none.alias("doc_id"), none.alias("chunk")))
-            ends = spark.createDataFrame([(g, a, a + -(-n // e)) for _, _, n, g, a, e in plan], "part int, a bigint, b bigint").groupBy("part").agg(F.max("b").alias("b"))
-            gap_rows = gap_rows.join(F.broadcast(ends), "part", "left").where("rank < 0 or b is null or rank >= b")
-        after.append(gap_rows.select("kind", "id", "size", "doc_id", "chunk"))
-        state = after[0]
-        for x in after[1:]:
-            state = state.unionByName(x)
-        state = state.where("size > 0")
-        placed += new
-    out = placed[0]
+            filled = F.aggregate(F.slice("got", F.lit(1), F.col("pos")), F.lit(0), lambda a, x: a + x["n_tokens"])
+            new = new.unionByName(exploded.select("bin_id", "g.doc_id", "g.chunk", (F.lit(capacity) - F.col("gap") + filled).cast("int").alias("bin_offset"), "g.n_tokens"))
+            after = after.unionByName(met.select(F.lit(1).alias("kind"), F.col("bin_id").alias("id"), (F.col("gap") - used).cast("int").alias("size"), none_id, none))
+            ends: dict[int, int] = {}
+            for _, _, n, part, rank, each in plan:
+                ends[part] = max(ends.get(part, 0), rank + -(-n // each))
+            closed = spark.createDataFrame(list(ends.items()), "part int, b bigint")
+            gap_rows = gap_rows.join(small_side(closed, len(ends), 16, broadcast_bytes), "part", "left").where("rank < 0 or b is null or rank >= b")
+        after = after.unionByName(gap_rows.select(*STATE)).where("size > 0")
+        placed.append(out.keep(new.select(*RESULT), "placed"))
+        state = ended.keep(after, "state")
+        now.drop()
+        before.drop()
+        before = ended
+    before.drop()
+    result = placed[0].select(*RESULT)
     for x in placed[1:]:
-        out = out.unionByName(x)
-    return out.select(*RESULT)
+        result = result.unionByName(x.select(*RESULT))
+    return result
