@@ -77,3 +77,64 @@ def test_nulls_empty_repeated(spark):
     got = sorted((r.doc_id or 0) for r in license_matches(frame).collect())
     assert got == [0, 0, 4, 4]
     assert license_matches(spark.createDataFrame([], DOCS)).count() == 0
+
+
+WHOLE = [n for n in TEMPLATES if n.endswith("/whole")]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_licence_with_altered_and_inserted_words(name):
+    """One word in twenty altered and a paragraph inserted in the middle: one match, from the first words to the last."""
+    r = random.Random(name)
+    w = TEMPLATES[name].split()
+    for i in r.sample(range(10, len(w) - 10), len(w) // 20):
+        w[i] = "altered"
+    middle = len(w) // 2
+    text = " ".join(["before"] * 40 + w[:middle] + ["inserted"] * 150 + w[middle:] + ["after"] * 40)
+    (m,) = find(pa.array([text]), Index(TEMPLATES), 0.8)[0]
+    assert m["template"] == name and m["coverage"] > 0.85
+    assert abs(m["start"] - text.index(w[0])) < 100 and abs(m["end"] - (text.rindex(w[-1]) + len(w[-1]))) < 100
+
+
+def test_half_a_licence_is_reported_with_its_coverage():
+    w = TEMPLATES["Apache-2.0/whole"].split()
+    index = Index(TEMPLATES)
+    text = pa.array(["words before " * 20 + " ".join(w[len(w) // 2 :])])
+    assert not [m for m in find(text, index, 0.8)[0] if m["template"] == "Apache-2.0/whole"]
+    (m,) = [m for m in find(text, index, 0.4)[0] if m["template"] == "Apache-2.0/whole"]
+    assert 0.4 < m["coverage"] < 0.6
+
+
+def test_lesser_and_affero_are_not_taken_for_the_general_licence():
+    for kind, name in (("", "GPL-3.0/notice"), ("Lesser ", "LGPL-3.0/notice"), ("Affero ", "AGPL-3.0/notice")):
+        text = f"Hello. This work is licensed under the GNU {kind}General Public License, version 3. Bye."
+        assert [m["template"] for m in find(pa.array([text]), Index(TEMPLATES), 0.8)[0]] == [name]
+
+
+def test_scan_agrees_with_full_alignment_of_every_template():
+    r = random.Random(11)
+    lexicon = [f"w{i}" for i in range(300)]
+    templates = {f"t{i}/x": " ".join(r.choice(lexicon) for _ in range(n)) for i, n in enumerate([5, 8, 20, 45, 45, 260])}
+    index = Index(templates)
+    own = {name: words(pa.array([t])).hash.tolist() for name, t in templates.items()}
+    for _ in range(12):
+        parts = [r.choice(lexicon) for _ in range(60)]
+        for name in r.sample(list(templates), 2):
+            w = templates[name].split()
+            for i in range(len(w) // 10):
+                w[r.randrange(len(w))] = "other"
+            parts += w + [r.choice(lexicon) for _ in range(30)]
+        column = pa.array([" ".join(parts)])
+        text = words(column).hash.tolist()
+        want = {name for name, t in own.items() if brute_align(t, text) >= 0.8 * len(t)}
+        assert {m["template"] for m in find(column, index, 0.8)[0]} == want
+
+
+def test_ties_and_very_long_texts(spark):
+    """Of equal templates the name that sorts first; whole texts are searched, and each occurrence counts."""
+    same = {"b/x": "one two three four five six", "a/x": "one two three four five six"}
+    assert [m["template"] for m in find(pa.array(["zero one two three four five six seven"]), Index(same), 0.8)[0]] == ["a/x"]
+    text = ("filler word " * 20_000 + TEMPLATES["MIT/text"] + " ") * 3
+    got = license_matches(spark.createDataFrame([(1, text, "", "")], DOCS)).collect()
+    assert [m.template for m in got] == ["MIT/text"] * 3
+    assert sorted(m.start for m in got) == [i for i in range(len(text)) if text.startswith(TEMPLATES["MIT/text"], i)]
