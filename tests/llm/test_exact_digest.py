@@ -54,3 +54,8 @@ def test_empty_and_unrepeated(spark):
 def test_canonical_is_stable(text):
     assert canonical(canonical(text)) == canonical(text)
     assert exact_digest.canonical(text.upper()) == canonical(text) or F is None or text in ("İstanbul", "ẞ", "ﬀͅ")
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "Long  Text " * 60_000), (2, "long text\n" * 60_000), (3, "long text " * 60_000 + "x"), (4, "ﬁn STRASSE"), (5, "fin straße"), (6, "Ｆin Strasse")]
+    assert got(exact_groups(frame(spark, rows))) == brute(rows)

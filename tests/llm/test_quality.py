@@ -59,3 +59,32 @@ def test_null_empty_long_and_no_labels(spark):
     assert rows[1].score is None and rows[2].score is None and not rows[1].keep and rows[2].passages == 0
     assert rows[3].passages == 1500 and 0 < rows[None].score < 1 and rows[None].top_weight == pytest.approx(1)
     assert Q.quality(spark.createDataFrame([], DOCS), Q.fit(frame, none)).count() == 0
+
+
+def test_score_equals_one_passage_after_another():
+    """The network's formulas, a document and a passage at a time."""
+    rng = np.random.default_rng(8)
+    net = Q.Network.start(6, 4, rng)
+    texts = ["ab cd " * 200, "x", "some other words " * 40]
+    got = Q.score(pa.array(texts), net, 300)
+    for text, r in zip(texts, got):
+        raw = text.encode()
+        h, e = [], []
+        for i in range(0, len(raw), 300):
+            x = Q.encode(pa.array([raw[i : i + 300].decode()]), 300)[0][0]
+            h.append(np.tanh(x @ net.w1 + net.b1))
+            e.append(float((np.tanh(h[-1] @ net.v) / (1 + np.exp(-(h[-1] @ net.u)))) @ net.w))
+        a = np.exp(np.array(e) - max(e))
+        a /= a.sum()
+        z = sum(w * x for w, x in zip(a, h))
+        assert r["score"] == pytest.approx(float(1 / (1 + np.exp(-(z @ net.c + net.d[0])))), abs=1e-5)
+        assert r["passages"] == len(h) and r["top_weight"] == pytest.approx(a.max(), abs=1e-5) and a[r["top_passage"]] == pytest.approx(a.max())
+
+
+def test_ties_repeated_rows_and_other_ids(spark):
+    """Equal passages share the weight, the first is named; repeated rows are scored each; ids of any type; contradicting labels count as bad."""
+    frame = spark.createDataFrame([("a", "z" * 800, "x", "y"), ("a", "z" * 800, "x", "y"), ("b", "words of prose", "x", "y")], "doc_id string, text string, score string, passages string")
+    marks = spark.createDataFrame([("a", 0), ("a", 1), ("b", 1)], "doc_id string, quality int")
+    rows = Q.quality(frame, Q.fit(frame, marks)).collect()
+    assert [r.top_passage for r in rows if r.doc_id == "a"] == [0, 0] and len({r.score for r in rows if r.doc_id == "a"}) == 1
+    assert len(rows) == 3

@@ -64,3 +64,13 @@ def test_round_trip_of_documents(spark, tmp_path, shard_tokens):
 
 def test_empty(spark):
     assert shards(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_shards_close_by_documents_and_hold_ids(spark):
+    """Empty texts don't make a shard without end; the file alone has the ids; ids of any type, ties and repeats in order."""
+    frame = spark.createDataFrame([(f"d{i % 7}", "" if i % 2 else None) for i in range(50)], "doc_id string, text string").coalesce(1)
+    found = shards(frame, shard_docs=20).collect()
+    assert sorted(r.n_docs for r in found) == [10, 20, 20]
+    for r in found:
+        assert reader(bytes(r.payload)).names == r.doc_ids
+    assert [i for r in sorted(found, key=lambda r: r.shard_id) for i in r.doc_ids] == [f"d{i % 7}" for i in range(50)]

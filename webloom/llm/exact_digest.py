@@ -52,12 +52,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read again; an aggregate keyed by digest and canonical bytes compares them exactly, its map side combining
     copies before the shuffle. Digests with several canonical texts (collisions) are told apart by the bytes.
 
-    Null text: group_id null, copies 0. Empty and blank texts are equal to each other. Repeated rows count as copies.
+    Null text: group_id null, copies 0. Empty and blank texts are equal to each other; very long ones are taken whole, as bytes.
+    Repeated rows count as copies.
     A null doc_id is ignored as group_id unless the group has no other. An empty table gives no rows. Columns of
     docs other than the two named are not read, whatever their names.
     """
     bound_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     digest, canon = digest_udf(form, width), canonical_udf(form)
     digests = materialize(src.select("doc_id", digest("text").alias("digest")), "digest")
     first = digests.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
@@ -65,7 +66,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     count = repeated.count()
     if not count:
         return digests.select("doc_id", F.when(F.col("digest").isNotNull(), F.col("doc_id")).alias("group_id"), F.col("digest").isNotNull().cast("bigint").alias("copies"))
-    members = src.withColumn("digest", digest("text")).join(small_side(repeated.select("digest"), count, 64, broadcast_bytes), "digest", "left_semi").select("doc_id", "digest", canon("text").alias("canon"))
+    members = src.withColumn("digest", digest.asNondeterministic()("text")).join(small_side(repeated.select("digest"), count, 64, broadcast_bytes), "digest", "left_semi").select("doc_id", "digest", canon("text").alias("canon"))
     exact = members.groupBy("digest", "canon").agg(F.min("doc_id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
     # one row for each digest; where bytes differ within a digest, variants > 1
     by_digest = materialize(exact.groupBy("digest").agg(F.count(F.lit(1)).alias("variants"), F.min("group_id").alias("group_id"), F.sum("copies").alias("copies")), "groups")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, scan, slices
+from .common import BROADCAST_BYTES, bound_batches, id_column, scan, slices, small_side
 
 BUCKETS = 256
 FEATURES = BUCKETS + 3
@@ -143,15 +143,17 @@ def score_udf(net: Network, size: int):
     return F.arrow_udf(run, RESULT_DDL)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 3000, size: int = 400, **options) -> Network:
-    """Train on about train_docs labelled documents, picked by the hash of doc_id (their number is all that is bounded; scoring covers every row)."""
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
-    total = marks.count()
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 3000, size: int = 400, train_bytes: int = 16_000_000, broadcast_bytes: int = BROADCAST_BYTES, **options) -> Network:
+    """Train on about train_docs labelled documents, or as many whole ones as hold about train_bytes if those are fewer, picked by the hash of
+    doc_id (these are all that is bounded; scoring covers every row). Labels other than 0 and 1 are left out, of several the least counts."""
+    marks = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
+    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null and text <> ''")
+    total, mean = marks.count(), src.agg(F.avg(F.octet_length("text"))).first()[0] or 1.0
     spread = 1 << 30
-    picked = marks.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(spread)) < int(min(1, train_docs / max(1, total)) * spread)).limit(2 * train_docs)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null and text <> ''")
-    rows = src.join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").limit(4 * train_docs).collect()
-    return train([r["text"] for r in rows], [r["y"] for r in rows], size, **options)
+    rows = min(train_docs, train_bytes / mean)
+    picked = marks.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(spread)) < int(min(1, rows / max(1, total)) * spread)).limit(2 * train_docs)
+    found = src.join(small_side(picked, 2 * train_docs, 32, broadcast_bytes), "doc_id").orderBy("doc_id", "text").limit(4 * train_docs).collect()
+    return train([r["text"] for r in found], [r["y"] for r in found], size, **options)
 
 
 def quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:
@@ -162,8 +164,8 @@ def quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
     numbers) and texts are read once, in place: no shuffle. A document's passages are scored together, however many.
 
     Null and empty texts: score, top_passage and top_weight null, keep false, passages 0. Repeated rows and null ids are scored
-    like others; an empty table gives no rows; other columns are not read.
+    like others, ids of any type; an empty table gives no rows; other columns are not read.
     """
     bound_batches(docs.sparkSession)
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(id_column(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return src.select("doc_id", score_udf(net, size)("text").alias("r")).select("doc_id", "r.*")

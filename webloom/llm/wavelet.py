@@ -12,27 +12,27 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
-from .common import bound_batches, slices
+from .common import bound_batches, id_column, slices
 from .language_id import TOKENIZERS
 from .tokens import processor
 
 MAGIC = b"WVM1"
 BLOCK = 1 << 15  # bytes of a plane that are compressed together
 SUPER = 512  # bits from one entry of the rank directory to the next
-SHARD_DDL = "shard_id bigint, n_docs bigint, n_tokens bigint, doc_ids array<bigint>, doc_starts array<bigint>, payload binary"
 
 
-def build(ids: np.ndarray, starts: np.ndarray, bits: int, level: int = 1) -> bytes:
-    """The file of a sequence of ids under 2 ** bits. starts: where each document begins, and the length.
+def build(ids: np.ndarray, starts: np.ndarray, bits: int, level: int = 1, names: list | None = None) -> bytes:
+    """The file of a sequence of ids under 2 ** bits. starts: where each document begins, and the length; names: the documents' ids.
 
     Layout: magic, length of the header, header (JSON: length, bits, zeros of each plane, sizes of the parts), then document
-    starts, rank directories and plane blocks, each compressed alone, so that an access reads only the blocks that it touches.
+    starts and ids, rank directories and plane blocks, each compressed alone, so that an access reads only the blocks that it touches.
     """
     seq = ids.astype(np.uint32, copy=True)
     n = len(seq)
     pack = zstandard.ZstdCompressor(level=level)
-    parts: list[bytes] = [pack.compress(starts.astype("<i8").tobytes())]
+    parts: list[bytes] = [pack.compress(starts.astype("<i8").tobytes()), pack.compress(json.dumps(names or [], default=str).encode())]
     zeros, sizes = [], []
     for b in range(bits - 1, -1, -1):
         ones = (seq >> np.uint32(b)) & np.uint32(1)
@@ -48,7 +48,7 @@ def build(ids: np.ndarray, starts: np.ndarray, bits: int, level: int = 1) -> byt
         one = ones.astype(bool)
         zeros.append(int(n - np.count_nonzero(one)))
         seq = np.concatenate([seq[~one], seq[one]])
-    header = json.dumps({"n": n, "bits": bits, "zeros": zeros, "starts": len(parts[0]), "sizes": sizes}).encode()
+    header = json.dumps({"n": n, "bits": bits, "zeros": zeros, "starts": len(parts[0]), "names": len(parts[1]), "sizes": sizes}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *parts])
 
 
@@ -65,6 +65,8 @@ class WaveletMatrix:
         at = 8 + size
         self.starts = np.frombuffer(self.unpack.decompress(payload[at : at + head["starts"]]), "<i8")
         at += head["starts"]
+        self.names: list = json.loads(self.unpack.decompress(payload[at : at + head["names"]]))
+        at += head["names"]
         self.places, self.directories, self.blocks = [], [], []
         for folded, blocks in head["sizes"]:
             self.directories.append(np.frombuffer(self.unpack.decompress(payload[at : at + folded]), "<u4"))
@@ -172,14 +174,14 @@ class WaveletMatrix:
         return value
 
 
-def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, shard_tokens: int = 1 << 22, level: int = 1) -> DataFrame:
+def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, shard_tokens: int = 1 << 22, shard_docs: int = 1 << 20, level: int = 1) -> DataFrame:
     """One row for each shard: (shard_id, n_docs, n_tokens, doc_ids, doc_starts, payload); payload is the shard's file.
 
-    A shard holds whole documents of one input partition, in their order, and is closed once it has shard_tokens tokens (so a
-    document is never cut, and a very long one can make a longer shard). shard_id is the partition's number and the shard's in
+    A shard holds whole documents of one input partition, in their order, and is closed once it has shard_tokens tokens or shard_docs
+    documents (so a document is never cut, and a very long one can make a longer shard). The file holds the documents' ids as well. shard_id is the partition's number and the shard's in
     it, so a task that is run again gives the same shards. Texts are read once, in place: no shuffle; a task holds one shard.
 
-    Null and empty texts are documents of no tokens. Repeated rows are kept each. A null doc_id is null in doc_ids. An empty
+    Null and empty texts are documents of no tokens. Repeated rows are kept each. A null doc_id is null in doc_ids; ids may have any type. An empty
     table gives no rows. Other columns are not read, whatever their names.
     """
 
@@ -187,19 +189,19 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         model = processor(tokenizers)
         bits = max(1, int(model.get_piece_size() - 1).bit_length())
         number = TaskContext.get().partitionId() << 24
-        ids, held, lengths, size = [], [], [], 0
+        ids, held, lengths, size, kind = [], [], [], 0, pa.int64()
 
         def close() -> pa.RecordBatch:
             nonlocal ids, held, lengths, size, number
             starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
             whole = np.concatenate([np.zeros(0, np.uint32), *held])
-            row = [[number], [len(ids)], [len(whole)], pa.array([ids], pa.list_(pa.int64())), pa.array([starts[:-1].tolist()], pa.list_(pa.int64())), pa.array([build(whole, starts, bits, level)], pa.binary())]
+            row = [[number], [len(ids)], [len(whole)], pa.array([ids], pa.list_(kind)), pa.array([starts[:-1].tolist()], pa.list_(pa.int64())), pa.array([build(whole, starts, bits, level, ids)], pa.binary())]
             number += 1
             ids, held, lengths, size = [], [], [], 0
-            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in row], [x.split()[0] for x in SHARD_DDL.split(", ")])
+            return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in row], schema.names)
 
         for batch in batches:
-            at = 0
+            at, kind = 0, batch.column(0).type
             for part in slices(batch.column(1), 1 << 19):
                 names = batch.column(0).slice(at, len(part)).to_pylist()
                 at += len(part)
@@ -208,13 +210,16 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                     lengths.append(len(tokens))
                     held.append(np.array(tokens, np.uint32))
                     size += len(tokens)
-                    if size >= shard_tokens:
+                    if size >= shard_tokens or len(ids) >= shard_docs:
                         yield close()
         if ids:
             yield close()
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SHARD_DDL)
+    src = docs.select(id_column(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    schema = StructType.fromDDL("shard_id bigint, n_docs bigint, n_tokens bigint")
+    schema.add("doc_ids", ArrayType(src.schema["doc_id"].dataType)).add("doc_starts", ArrayType(LongType())).add("payload", BinaryType())
+    return src.mapInArrow(run, schema)
 
 
 def save(found: DataFrame, folder: str) -> DataFrame:
