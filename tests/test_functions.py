@@ -87,3 +87,13 @@ def test_rules_round_trip(spark):
     text = "allow: /a/b\ndisallow: /a"
     assert one(spark, lambda t: robots.encode_rules(robots.sort_rules(robots.decode_rules(t))), t=text) == text
     assert one(spark, lambda t: robots.encode_rules(robots.decode_rules(t)), t="") == ""
+
+
+def test_anchors_of_any_quoting(spark):
+    from webloom.functions.html import hrefs, parse_links
+
+    html = """<a data-href="/no" href="/y">1</a><a href=/z>2</a><a href="/it's">3</a><a href='/q"r'>4</a><a name=x>5</a><a class="c"
+      HREF = "/up">6</a><a href="">7</a>"""
+    got = spark.createDataFrame([(html,)], "h string").select(hrefs(F.col("h")).alias("x")).first().x
+    assert got == ["/y", "/z", "/it's", '/q"r', "/up", ""]
+    assert parse_links(f'<base href="/sub/">{html}<a href="rel?a=1&amp;b=2">', "http://a/x/y")[-1] == "http://a/sub/rel?a=1&b=2"

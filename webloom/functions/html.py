@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from .urls import resolve
 
-ANCHOR = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
+# the value, quoted by either sign or not at all, is one group: what it may hold follows from the character before it
+ANCHOR = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?((?<=")[^"]*|(?<=')[^']*|(?<=[=\s])[^\s"'>][^\s>]*)"""
 UNREAD = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 
 
@@ -22,7 +23,7 @@ def decode_body(body: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    """Distinct href values of the anchors, in order. Markup in comments, scripts and styles doesn't count."""
+    """Distinct href values of the anchors, quoted or not, in order. Markup in comments, scripts and styles doesn't count."""
     clean = F.when(html.rlike(r"(?i)<!--|<script|<style"), F.regexp_replace(html, UNREAD, "")).otherwise(html)
     return F.array_distinct(F.transform(F.regexp_extract_all(clean, F.lit(ANCHOR), F.lit(1)), lambda h: F.replace(F.trim(h), F.lit("&amp;"), F.lit("&"))))
 

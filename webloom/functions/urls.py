@@ -10,7 +10,7 @@ URI = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 ODD = r"\x00-\x20\"<>\\^`{|}\x7F-\xA0\p{Zs}\p{Zl}\p{Zp}"
 BAD_PATH = rf"[{ODD}\[\]]|%(?![0-9A-Fa-f]{{2}})"
 BAD_QUERY = rf"[{ODD}#]|%(?![0-9A-Fa-f]{{2}})"
-LONGEST_AUTHORITY = 1000
+LONGEST_AUTHORITY = 1000  # a host has 255 characters at most, so that only user information could make a valid one longer
 SCHEME_OK = r"\A[A-Za-z][A-Za-z0-9+.\-]*\z"
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 TOP = r"[A-Za-z](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
@@ -64,7 +64,8 @@ def normalize_url(url: Column, remove_userinfo: bool = True, remove_query: bool
     """The normalized URL, or null where it has none: scheme and host lower-cased, the host in ASCII, user information, default
     and empty ports, query and fragment removed as set, dot and empty segments folded, percent escapes untouched. URLs that are
     relative, opaque, without authority or not well-formed have none. Where an authority doesn't parse (such as a host outside
-    ASCII) what follows its last "@" is the host, port and all, so that a default port then stays."""
+    ASCII) what follows its last "@" is the host, port and all, so that a default port then stays. URLs whose authority has more
+    than LONGEST_AUTHORITY characters have none."""
     scheme, authority, path = F.lower(part(url, 1)), part(url, 2), part(url, 3)
     query, fragment = part(url, 4), part(url, 5)
     parsed = F.when(F.length(authority) <= LONGEST_AUTHORITY, authority.rlike(SERVER)).otherwise(False)

@@ -25,12 +25,13 @@ def by_size(frame: DataFrame, size: int, coarse: Column, *order: Column | str) -
     return numbered(frame, coarse, *order).withColumn("batch", F.floor((F.col("rn") - 1) / size).cast("bigint")).drop("rn")
 
 
-def by_size_or_time(frame: DataFrame, key: str, time_ms: Column, size: int, delay_ms: int) -> DataFrame:
+def by_size_or_time(frame: DataFrame, key: str, time_ms: Column, size: int, delay_ms: int, *ties: str) -> DataFrame:
     """frame (with __ms and batch): per key, a batch ends when it has size rows (the first row of a batch alone never ends it)
-    or delay_ms after its first row, whichever is earlier."""
+    or delay_ms after its first row, whichever is earlier. Rows of equal times go by ties. A key's rows are cut where delay_ms go by
+    without one, as a batch ends there at the latest; thousands of the runs between are a group, so that a busy key is many groups."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__ms", kind="stable")
+        pdf = pdf.sort_values(["__ms", *ties], kind="stable")
         number, held, first, out = 0, 0, 0, []
         for t in pdf["__ms"].tolist():
             if held and t - first >= delay_ms:
@@ -41,11 +42,19 @@ def by_size_or_time(frame: DataFrame, key: str, time_ms: Column, size: int, dela
             out.append(number)
             if held > 1 and held >= size:
                 number, held = number + 1, 0
-        return pdf.assign(batch=out)
+        return pdf.assign(__own=out)
 
+    order = W.partitionBy(key).orderBy("__ms", *ties)
     marked = frame.withColumn("__ms", time_ms.cast("bigint"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema) + ", batch bigint"
-    return marked.groupBy(key).applyInPandas(run, schema)
+    cut = marked.withColumn("__cut", F.coalesce((F.col("__ms") - F.lag("__ms").over(order) >= delay_ms).cast("bigint"), F.lit(0)))
+    runs = cut.withColumn("__run", F.floor(F.sum("__cut").over(order.rowsBetween(W.unboundedPreceding, 0)) / 4096)).drop("__cut")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema) + ", `__own` bigint"
+    own = runs.groupBy(key, "__run").applyInPandas(run, schema)
+    # a batch begins at the first row of a run and where the number within the run grows
+    begins = F.coalesce((F.col("__own") != F.lag("__own").over(W.partitionBy(key).orderBy("__run", "__own", "__ms", *ties))) | (F.col("__run") != F.lag("__run").over(W.partitionBy(key).orderBy("__run", "__own", "__ms", *ties))), F.lit(False))
+    numbered_ = own.withColumn("__begins", begins.cast("bigint"))
+    number = F.sum("__begins").over(W.partitionBy(key).orderBy("__run", "__own", "__ms", *ties).rowsBetween(W.unboundedPreceding, 0))
+    return numbered_.withColumn("batch", number).drop("__begins", "__own", "__run")
 
 
 def idle_sessions(frame: DataFrame, key: str, micros: Column, idle_ms: int) -> DataFrame:

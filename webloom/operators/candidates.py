@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import hrefs, is_http, meta_nofollow
+from ..functions.html import hrefs, is_http, meta_nofollow, parsed_links
 from ..functions.priority import shuffled
 from ..functions.urls import normalize_url, redirect_url, resolve, scheme_and_authority
 from ..schemas import DISCOVERED
@@ -24,6 +24,11 @@ def page_links(pages: DataFrame) -> DataFrame:
     return resolved.where(is_http(F.col("url")))
 
 
+def parsed_page_links(pages: DataFrame) -> DataFrame:
+    """As page_links(), by the tolerant parser: any markup, <base href>, all character references."""
+    return pages.select(F.col("url").alias("src_url"), F.explode(parsed_links(F.col("html"), F.col("url"))).alias("url"), (F.col("crawl_depth") + 1).alias("crawl_depth"))
+
+
 def from_links(pages: DataFrame, parsed: Column | None = None) -> DataFrame:
     """Candidates from the links of pages; parsed: an array of absolute links to use instead (such as html.parsed_links)."""
     if parsed is not None:
@@ -48,10 +53,13 @@ def dedup(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("url").agg(F.min("crawl_depth").alias("crawl_depth"))
 
 
+def normalized_url(settings: CrawlSettings) -> Column:
+    return normalize_url(F.col("url"), settings.remove_userinfo, settings.remove_query, settings.remove_fragment)
+
+
 def normalize(candidates: DataFrame, settings: CrawlSettings = CrawlSettings()) -> DataFrame:
     """Normalized candidates; those without a normalized URL go."""
-    url = normalize_url(F.col("url"), settings.remove_userinfo, settings.remove_query, settings.remove_fragment)
-    return candidates.withColumn("url", url).where(F.col("url").isNotNull())
+    return candidates.withColumn("url", normalized_url(settings)).where(F.col("url").isNotNull())
 
 
 def full_match(url: Column, patterns: tuple[str, ...]) -> Column:
@@ -68,9 +76,12 @@ def short_enough(url: Column, most: int) -> Column:
     return F.when(F.octet_length(url) == F.length(url), F.length(url)).otherwise(F.length(url) + beyond) <= most
 
 
+def in_scope(url: Column, settings: CrawlSettings) -> Column:
+    return short_enough(url, settings.max_url_length) & full_match(url, settings.must_match) & ~full_match(url, settings.must_not_match)
+
+
 def url_filter(candidates: DataFrame, settings: CrawlSettings = CrawlSettings()) -> DataFrame:
-    url = F.col("url")
-    return candidates.where(short_enough(url, settings.max_url_length) & full_match(url, settings.must_match) & ~full_match(url, settings.must_not_match))
+    return candidates.where(in_scope(F.col("url"), settings))
 
 
 def depth_filter(pages: DataFrame, most: int) -> DataFrame:

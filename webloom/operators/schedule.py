@@ -37,6 +37,17 @@ def top_discovered(pages: DataFrame, n: int) -> DataFrame:
     return pages.where("status = 'Discovered'").orderBy(F.desc("crawl_priority"), "url").limit(n)
 
 
+def pick_queue(queues: DataFrame, seed: int) -> DataFrame:
+    """One of the hosts that have pages waiting, each as likely over the seeds: the least by the hash of host and seed."""
+    return queues.select("scheme_and_authority").distinct().orderBy(F.md5(F.concat("scheme_and_authority", F.lit(f":{seed}"))), "scheme_and_authority").limit(1)
+
+
+def saturated_ms(amount: Column, unit_ms: int) -> Column:
+    """amount units as milliseconds; what exceeds 64 bits becomes the longest duration there is."""
+    longest = F.when(amount < 0, F.lit(-(2**63) + 1)).otherwise(F.lit(2**63 - 1))
+    return F.coalesce(F.try_multiply(amount.cast("bigint"), F.lit(unit_ms).cast("bigint")), F.when(amount.isNotNull(), longest))
+
+
 def fetcher_target(queues: Column, managers: Column, settings: CrawlSettings = CrawlSettings()) -> Column:
     """Fetchers of a node: no more than queues, than its share of them plus one, than the bandwidth feeds."""
     return F.least(queues, F.expr("1") + F.floor(queues / managers), F.lit(settings.total_bandwidth // settings.min_bandwidth_per_fetcher)).cast("bigint")

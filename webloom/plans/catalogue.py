@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from ..functions import priority, robots, urls
 from ..operators import batches, candidates, hosts, metrics, responses, schedule
 from ..schemas import ALLOW_ALL, ALLOW_NONE, ALLOW_SOME, HEADERS, RULES
 from ..settings import CrawlSettings
-from ..sources.state import apply_status, latest
+from ..sources.scratch import shared_folder
+from ..sources.state import ParquetState, apply_status, latest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -366,16 +368,66 @@ def q_restore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.top_discovered(page_rows(spark, sf_dir).withColumn("status", F.expr(SQL_STATE)), CrawlSettings().restore_chunk).select("url", "crawl_priority")
 
 
+def store(spark: SparkSession) -> ParquetState:
+    """An empty store of its own in the shared folder."""
+    return ParquetState(spark, f"{shared_folder(spark)}/webloom/{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}")
+
+
 @query("SELECT page_id, url FROM pages WHERE url = (SELECT max(url) FROM pages)")
 def q_point_lookup_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir).select("page_id", "url")
-    return p.join(p.agg(F.max("url").alias("url")), "url").select("page_id", "url")
+    """Through the store: all pages are inserted, one is looked up by its URL."""
+    p, state = page_rows(spark, sf_dir), store(spark)
+    state.insert_pages(p.withColumn("status", F.lit("Discovered")))
+    return p.select("page_id", "url").join(state.find_page(p.agg(F.max("url")).first()[0]).select("url"), "url").select("page_id", "url")
 
 
 @query(f"WITH {SQL_HOSTS} SELECT scheme_and_authority, rule_mode, crawl_delay FROM hosts WHERE scheme_and_authority = (SELECT max(scheme_and_authority) FROM hosts)")
 def q_point_lookup_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = host_rows(spark, sf_dir).select("scheme_and_authority", "rule_mode", "crawl_delay")
-    return h.join(h.agg(F.max("scheme_and_authority").alias("scheme_and_authority")), "scheme_and_authority")
+    """Through the store: all hosts are inserted, one is looked up by its key."""
+    h, state = host_rows(spark, sf_dir), store(spark)
+    state.upsert_hosts(h)
+    return state.find_host(h.agg(F.max("scheme_and_authority")).first()[0]).select("scheme_and_authority", "rule_mode", "crawl_delay")
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id % 3 = 0")
+def q_recover_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many lookups in the store at once."""
+    p, state = page_rows(spark, sf_dir), store(spark)
+    state.insert_pages(p.withColumn("status", F.lit("Discovered")))
+    return p.select("page_id", "url").join(state.find_pages(p.where("page_id % 3 = 0")).select("url"), "url").where("page_id % 3 = 0").select("page_id", "url")
+
+
+@query(f"WITH {SQL_HOSTS} SELECT scheme_and_authority, rule_mode, crawl_delay FROM hosts WHERE length(scheme_and_authority) % 2 = 0")
+def q_recover_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, state = host_rows(spark, sf_dir), store(spark)
+    state.upsert_hosts(h)
+    return state.find_hosts(h.where("length(scheme_and_authority) % 2 = 0")).select("scheme_and_authority", "rule_mode", "crawl_delay")
+
+
+@query(f"SELECT h AS scheme_and_authority FROM (SELECT DISTINCT {SQL_HOST} AS h FROM pages) ORDER BY md5(h || ':7'), h LIMIT 1")
+def q_queue_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.pick_queue(hosts.with_host(pages(spark, sf_dir)), 7)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN (page_id * 1000)::BIGINT ELSE 9223372036854775807::BIGINT END AS ms FROM pages")
+def q_saturated_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amount = F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("bigint")).otherwise(F.lit(2**60))
+    return pages(spark, sf_dir).select("page_id", schedule.saturated_ms(amount, 1000).alias("ms"))
+
+
+@query("SELECT (page_id % 4)::VARCHAR AS shard, count(*) AS value FROM pages GROUP BY 1")
+def q_entities_per_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.entities(pages(spark, sf_dir), "page_manager.entities", F.col("page_id") % 4).select(F.col("attrs.shard").alias("shard"), "value")
+
+
+@query(
+    f"""WITH n AS (SELECT {SQL_NORM} AS n FROM (SELECT DISTINCT url FROM pages))
+    SELECT 'url_normalizer.processed_urls' AS name, count(*) AS value FROM n UNION ALL SELECT 'url_normalizer.exceptions', 0 UNION ALL
+    SELECT 'url_filter.passed', count(*) FILTER (WHERE length(n) <= 40) FROM n UNION ALL SELECT 'url_filter.rejected', count(*) FILTER (WHERE length(n) > 40) FROM n"""
+)
+def q_admission_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = candidates.from_seeds(pages(spark, sf_dir))
+    return metrics.rows(spark, metrics.admission(raw, CrawlSettings(max_url_length=40))).select("name", "value")
 
 
 @query(f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'Processed' ELSE {SQL_STATE} END AS status FROM pages")
@@ -458,10 +510,19 @@ def q_batcher(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS rn FROM events),
+    r AS (SELECT event_id, user_id, rn, 0::BIGINT AS batch, 1 AS held, ms AS first FROM o WHERE rn = 1
+      UNION ALL SELECT o.event_id, o.user_id, o.rn,
+        r.batch + CASE WHEN r.held > 1 AND r.held >= 5 OR o.ms - r.first >= 3600000 THEN 1 ELSE 0 END,
+        CASE WHEN r.held > 1 AND r.held >= 5 OR o.ms - r.first >= 3600000 THEN 1 ELSE r.held + 1 END,
+        CASE WHEN r.held > 1 AND r.held >= 5 OR o.ms - r.first >= 3600000 THEN o.ms ELSE r.first END
+      FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1)
+    SELECT event_id, user_id, batch FROM r"""
+)
 def q_size_or_time_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return batches.by_size_or_time(events(spark, sf_dir).select("event_id", "user_id", "ts"), "user_id", ms, 5, 3_600_000).select("event_id", "user_id", "batch")
+    return batches.by_size_or_time(events(spark, sf_dir).select("event_id", "user_id", "ts"), "user_id", ms, 5, 3_600_000, "event_id").select("event_id", "user_id", "batch")
 
 
 @query(

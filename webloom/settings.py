@@ -10,6 +10,16 @@ from pyspark.sql import Column, DataFrame
 
 INT_MAX = 2_147_483_647
 
+#: names that a configuration may have and that mean nothing here: they size or time queues, caches, actors and batches of a crawler that
+#: works page by page; rounds are set operations, each written once
+NO_EFFECT = frozenset("""
+    log_exceptions url_cache_size lenient_ask_timeout_ms lenient_fail_open_ms lenient_cache_size
+    strict_ask_timeout_ms strict_fail_close_ms strict_cache_size fetcher_initial_delay_ms fetcher_management_delay_ms
+    supplier_ask_timeout_ms supplier_burst restore_initial_delay_ms restore_delay_ms host_insert_batch
+    host_update_batch page_update_batch max_recovery_queries page_idle_ms host_idle_ms
+    queue_idle_ms metrics_delay_ms
+""".split())
+
 
 @dataclass(frozen=True)
 class CrawlSettings:
@@ -19,11 +29,9 @@ class CrawlSettings:
     must_match: tuple[str, ...] = (".*",)
     must_not_match: tuple[str, ...] = ()
     # URL normalization
-    log_exceptions: bool = True
     remove_userinfo: bool = True
     remove_query: bool = False
     remove_fragment: bool = True
-    url_cache_size: int = 100_000
     # robots
     user_agents: tuple[str, ...] = ()
     default_crawl_delay_ms: int = 1000
@@ -36,35 +44,16 @@ class CrawlSettings:
     robots_max_redirects: int = 5
     robots_max_concurrent: int = 5
     robots_bandwidth: int = 200_000
-    lenient_ask_timeout_ms: int = 10_000
-    lenient_fail_open_ms: int = 300_000
-    lenient_cache_size: int = 1000
-    strict_ask_timeout_ms: int = 10_000
-    strict_fail_close_ms: int = 120_000
-    strict_cache_size: int = 1000
-    # fetching
+    # fetching; nodes: how many share the hosts, each with the whole bandwidth
+    nodes: int = 1
     max_content_length: int = 1_000_000
     total_bandwidth: int = 5_000_000
     min_bandwidth_per_fetcher: int = 200_000
-    fetcher_initial_delay_ms: int = 5000
-    fetcher_management_delay_ms: int = 10_000
-    supplier_ask_timeout_ms: int = 3000
-    supplier_burst: int = 10
     supplier_min_delay_ms: int = 10
     supplier_max_delay_ms: int = 1000
     # state
-    restore_initial_delay_ms: int = 3000
-    restore_delay_ms: int = 60_000
     restore_chunk: int = 100
-    host_insert_batch: tuple[int, int] = (5, 350)
-    host_update_batch: tuple[int, int] = (5, 350)
     page_insert_batch: tuple[int, int] = (1000, 500)
-    page_update_batch: tuple[int, int] = (100, 350)
-    max_recovery_queries: int = 15
-    page_idle_ms: int = 120_000
-    host_idle_ms: int = 120_000
-    queue_idle_ms: int = 10_000
-    metrics_delay_ms: int = 30_000
     database: str | None = None
     # extensions: pages whose fetch fails so often are left alone; compaction of the state log
     max_attempts: int = 5
@@ -75,7 +64,8 @@ class CrawlSettings:
 
     @staticmethod
     def of(values: dict[str, Any]) -> CrawlSettings:
-        """From a mapping, as read from a configuration file; unknown names raise."""
+        """From a mapping, as read from a configuration file; names without effect are passed over, unknown ones raise."""
+        values = {k: v for k, v in values.items() if k not in NO_EFFECT}
         known = {f.name for f in fields(CrawlSettings)}
         if unknown := sorted(set(values) - known):
             raise ValueError(f"unknown settings: {', '.join(unknown)}")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import http.client
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField
 
 from ..operators.responses import robots_outcome
 from ..schemas import HEADERS, RESPONSE
@@ -83,12 +86,8 @@ class Throttle:
             time.sleep(self.free_at - now)
 
 
-def http_get(url: str, limit: int, rate: int, timeout: float, follow: int) -> dict:
-    """One GET. The body is read up to limit + 1 bytes (so that a longer one shows), at rate bytes a second; follow: redirects that are followed here."""
-    import http.client
-    import urllib.error
-    import urllib.request
-
+def http_get(url: str, limit: int, throttle: Throttle, timeout: float, follow: int) -> dict:
+    """One GET. The body is read up to limit + 1 bytes (so that a longer one shows), as fast as throttle lets; follow: redirects that are followed here."""
     class Hold(urllib.request.HTTPRedirectHandler):
         max_redirections = follow
 
@@ -100,47 +99,74 @@ def http_get(url: str, limit: int, rate: int, timeout: float, follow: int) -> di
             reply = urllib.request.build_opener(Hold()).open(url, timeout=timeout)
         except urllib.error.HTTPError as error:
             reply = error
-        throttle, body = Throttle(rate), b""
+        body = b""
         while len(body) <= limit and (part := reply.read(min(16_384, limit + 1 - len(body)))):
             throttle.take(len(part))
             body += part
         headers = [{"name": k, "value": v} for k, v in reply.headers.items()]
-        return {"status": reply.status, "content_type": reply.headers.get("Content-Type"), "headers": headers, "protocol": "HTTP/1.1", "body": body, "failed": False}
-    except (OSError, http.client.HTTPException, ValueError):
-        return {"status": None, "content_type": None, "headers": [], "protocol": None, "body": None, "failed": True}
+        return {"status": reply.status, "content_type": reply.headers.get("Content-Type"), "headers": headers, "protocol": "HTTP/1.1", "body": body, "failed": False, "error": None}
+    except (OSError, http.client.HTTPException, ValueError) as error:
+        return {"status": None, "content_type": None, "headers": [], "protocol": None, "body": None, "failed": True, "error": type(error).__name__}
+
+
+class Clock:
+    """When the requests of each host may go: not before their time, and as far from the one before as their times are, also when those are late."""
+
+    def __init__(self) -> None:
+        self.last: dict[str, tuple[float, float]] = {}
+
+    def wait(self, host: str, micros: int | None) -> None:
+        if micros is None:
+            return
+        at = now = micros / 1e6
+        if host in self.last:
+            went, planned = self.last[host]
+            now = max(at, went + at - planned)
+        if (left := now - time.time()) > 0:
+            time.sleep(left)
+        self.last[host] = (time.time(), at)
 
 
 class HttpAdapter:
-    """HTTP from the executors: partitions are hosts, a few requests of a partition run at once. Not idempotent: write the result before using it twice."""
+    """HTTP from the executors. A task is a fetcher: it has whole hosts and sends one request at a time, each not before its eligible_at where
+    requests have that column, at its share of the bandwidth. Not idempotent: write the result before using it twice."""
 
-    def __init__(self, settings: CrawlSettings = CrawlSettings(), parallel: int = 8, timeout: float = 10.0):
-        self.settings, self.parallel, self.timeout = settings, parallel, timeout
+    def __init__(self, settings: CrawlSettings = CrawlSettings(), timeout: float = 10.0):
+        self.settings, self.timeout = settings, timeout
 
     def fetch(self, requests: DataFrame, limit: int, rate: int, follow: int, tasks: int) -> DataFrame:
-        parallel, timeout = self.parallel, self.timeout
+        timeout = self.timeout
+        timed = "eligible_at" in requests.columns
+        asked = requests.withColumn("__at", F.unix_micros("eligible_at") if timed else F.lit(None).cast("bigint"))
         extra = [f for f in requests.schema if f.name not in RESPONSE.names or f.name == "url"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            with ThreadPoolExecutor(parallel) as pool:
-                for batch in batches:
-                    got = list(pool.map(lambda u: http_get(u, limit, rate, timeout, follow), batch.column("url").to_pylist()))
-                    columns = {f.name: batch.column(f.name) for f in extra}
-                    types = {"status": pa.int32(), "content_type": pa.string(), "headers": pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), "protocol": pa.string(), "body": pa.binary(), "failed": pa.bool_()}
-                    columns |= {k: pa.array([g[k] for g in got], t) for k, t in types.items()}
-                    yield pa.RecordBatch.from_pydict(columns)
-
-        schema = type(RESPONSE)([*extra, *(f for f in RESPONSE if f.name != "url")])
-        return requests.select(*[f.name for f in extra]).repartition(tasks, "scheme_and_authority").mapInArrow(run, schema)
+            throttle, clock = Throttle(rate), Clock()
+            for batch in batches:
+                got = []
+                for host, url, at in zip(*(batch.column(c).to_pylist() for c in ("scheme_and_authority", "url", "__at"))):
+                    clock.wait(host, at)
+                    got.append(http_get(url, limit, throttle, timeout, follow))
+                columns = {f.name: batch.column(f.name) for f in extra}
+                types = {"status": pa.int32(), "content_type": pa.string(), "headers": pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), "protocol": pa.string(), "body": pa.binary(), "failed": pa.bool_(), "error": pa.string()}
+                columns |= {k: pa.array([g[k] for g in got], t) for k, t in types.items()}
+                yield pa.RecordBatch.from_pydict(columns)
+
+        schema = type(RESPONSE)([*extra, *(f for f in RESPONSE if f.name != "url"), StructField("error", StringType())])
+        ordered = asked.select(*[f.name for f in extra], "__at").repartition(tasks, "scheme_and_authority").sortWithinPartitions("__at", "url")
+        return ordered.mapInArrow(run, schema)
 
     def pages(self, requests: DataFrame) -> DataFrame:
+        """As many fetchers as the hosts, the nodes and the bandwidth allow (schedule.fetcher_target), which share the bandwidth of their node."""
         s = self.settings
-        fetchers = max(1, s.total_bandwidth // s.min_bandwidth_per_fetcher)
-        return self.fetch(requests, s.max_content_length, s.min_bandwidth_per_fetcher, 0, fetchers)
+        queues = requests.select("scheme_and_authority").distinct().count()
+        target = max(1, min(queues, 1 + queues // s.nodes, s.total_bandwidth // s.min_bandwidth_per_fetcher))
+        return self.fetch(requests, s.max_content_length, s.total_bandwidth // target, 0, target * s.nodes)
 
     def robots(self, hosts: DataFrame) -> DataFrame:
         s = self.settings
         asked = hosts.withColumn("url", F.concat("scheme_and_authority", F.lit("/robots.txt")))
-        got = self.fetch(asked, s.robots_max_content_length, s.robots_bandwidth, s.robots_max_redirects, s.robots_max_concurrent)
+        got = self.fetch(asked, s.robots_max_content_length, s.robots_bandwidth, s.robots_max_redirects, s.robots_max_concurrent * s.nodes)
         outcome = robots_outcome(F.col("failed"), F.col("status"), F.col("content_type"), F.lit(None).cast("string"), F.lit(0), 0)
         return got.withColumn("outcome", outcome).select("scheme_and_authority", "outcome", F.when(F.col("outcome") == "Response", F.col("body")).alias("body"))
 
@@ -174,6 +200,7 @@ class HttpReader(DataSourceReader):
         return [UrlPartition(urls[i::n]) for i in range(min(n, max(1, len(urls))))]
 
     def read(self, partition):
+        throttle = Throttle(int(self.options.get("rate", "200000")))
         for url in partition.urls:
-            r = http_get(url, int(self.options.get("limit", "1000000")), int(self.options.get("rate", "200000")), float(self.options.get("timeout", "10")), 0)
+            r = http_get(url, int(self.options.get("limit", "1000000")), throttle, float(self.options.get("timeout", "10")), 0)
             yield (url, r["status"], r["content_type"], [(h["name"], h["value"]) for h in r["headers"]], r["protocol"], r["body"], r["failed"])

@@ -42,6 +42,10 @@ class StateStore(Protocol):
 
     def last_seq(self) -> int: ...
 
+    def discovered(self, limit: int | None = None) -> DataFrame: ...
+
+    def compact(self) -> None: ...
+
 
 class ParquetState:
     """path/pages/seq=N and path/hosts/seq=N. A folder is written by a rename of a whole job, so a round that breaks off leaves
@@ -121,6 +125,10 @@ class ParquetState:
     def find_host(self, key: str) -> DataFrame:
         return latest(self.host_events().where(F.col("scheme_and_authority") == key), "scheme_and_authority").select(*HOST.names)
 
+    def find_hosts(self, keys: DataFrame) -> DataFrame:
+        """Many lookups as one join."""
+        return self.hosts().join(keys.select("scheme_and_authority"), "scheme_and_authority", "left_semi").select(*HOST.names)
+
     def find_by_status(self, status: str, limit: int) -> DataFrame:
         return self.pages().where(F.col("status") == status).orderBy(F.desc("crawl_priority"), "url").limit(limit).select(*PAGE.names)
 
