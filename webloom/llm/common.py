@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -65,6 +68,14 @@ def wide_key(*columns: str, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *marked)
 
 
+def trim() -> None:
+    """Give memory that is free again back to the system, after something large; Python workers and the driver live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep what Arrow hands to Python at once small; a session that sets these itself keeps its own."""
     for key, value in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):

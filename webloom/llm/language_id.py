@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bound_batches, slices, small_side
+from .common import BROADCAST_BYTES, bound_batches, slices, small_side, trim
 from .words import INVERSE, MULT, Words, mix, powers, words
 
 TOKENIZERS = os.environ.get("WEBLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -385,7 +385,10 @@ def fit(
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(spread))
     picked = src.join(small_side(shares, len(found), 64, broadcast_bytes), "lang").where(draw < F.col("share"))
     rows = picked.select("doc_id", "text", "lang").orderBy("doc_id", "text").limit(2 * train_docs * len(found)).collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], tokenizers, slack=slack)
+    model = train([r["text"] for r in rows], [r["lang"] for r in rows], tokenizers, slack=slack)
+    del rows
+    trim()
+    return model
 
 
 def decide_udf(model: Model):
@@ -396,6 +399,8 @@ def decide_udf(model: Model):
             for part in slices(batch):
                 out += scorer.decide(part)
             yield pa.array(out, RESULT)
+        del scorer
+        trim()
 
     run.__annotations__ = {"column": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, RESULT_DDL)

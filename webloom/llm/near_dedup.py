@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BROADCAST_BYTES, Scratch, bound_batches, id_column, slices, small_side, wide_key
+from .common import BROADCAST_BYTES, Scratch, bound_batches, id_column, slices, small_side, trim, wide_key
 from .words import grams, mix, words
 
 COORDINATES = 128
@@ -69,6 +69,7 @@ def sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i).take(index) for i in range(3)), pa.array(wide[:, 0].copy()), pa.array(wide[:, 1].copy()), pa.array(raw, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "k1", "k2", "rec", "alt", "sig", "sketch"]
             )
+    trim()
 
 
 def matrix(column: pa.Array, dtype: type, width: int) -> np.ndarray:

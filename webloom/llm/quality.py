@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, bound_batches, id_column, scan, slices, small_side
+from .common import BROADCAST_BYTES, bound_batches, id_column, scan, slices, small_side, trim
 
 BUCKETS = 256
 FEATURES = BUCKETS + 3
@@ -153,7 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = min(train_docs, train_bytes / mean)
     picked = marks.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(spread)) < int(min(1, rows / max(1, total)) * spread)).limit(2 * train_docs)
     found = src.join(small_side(picked, 2 * train_docs, 32, broadcast_bytes), "doc_id").orderBy("doc_id", "text").limit(4 * train_docs).collect()
-    return train([r["text"] for r in found], [r["y"] for r in found], size, **options)
+    net = train([r["text"] for r in found], [r["y"] for r in found], size, **options)
+    del found
+    trim()
+    return net
 
 
 def quality(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:
