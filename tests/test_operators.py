@@ -123,3 +123,18 @@ def test_numbering_equals_a_global_order(spark):
     frame = spark.createDataFrame([(i * 37 % 101, i) for i in range(101)] + [(None, 999)], "t bigint, id bigint")
     got = rows(batches.numbered(frame, F.floor(F.col("t") / 10), "t", "id"), "rn", "id")
     assert [i for _, i in got] == [999] + [r[1] for r in sorted((i * 37 % 101, i) for i in range(101))]
+
+
+def test_what_comes_next_is_the_schedule_within_the_window(spark):
+    """The pruned schedule releases what the whole one does, and waits for the same time after."""
+    pages = spark.createDataFrame([(f"http://h{i % 4}/{i}", f"http://h{i % 4}", i * 7 % 11) for i in range(60)], "url string, scheme_and_authority string, crawl_priority bigint")
+    hosts = spark.createDataFrame([("http://h0", 0), ("http://h1", 1000), ("http://h2", 2500), ("http://h3", 20000)], "scheme_and_authority string, crawl_delay bigint")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    whole = schedule.politeness(schedule.queue_rank(pages), hosts, start)
+    for window in (0, 1, 2600, 60_000):
+        some = schedule.upcoming(pages, hosts, start, window)
+        now = F.timestamp_micros(F.unix_micros(start) + window * 1000 + 1)
+        due = lambda df: {(r.url, r.eligible_at) for r in schedule.released(df, now).collect()}  # noqa: E731, B023
+        assert due(some) == due(whole)
+        wait = lambda df: df.where(F.col("eligible_at") >= now).agg(F.min("eligible_at")).first()[0]  # noqa: E731, B023
+        assert wait(some) == wait(whole)

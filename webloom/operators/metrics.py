@@ -33,13 +33,14 @@ def entities(frame: DataFrame, name: str, shard: Column) -> DataFrame:
 
 def admission(raw: DataFrame, settings: CrawlSettings) -> dict[str, int]:
     """What the normalizer and the URL filter do with raw candidates, in one pass: url_normalizer.processed_urls and .exceptions (URLs without a
-    normalized form), url_filter.passed and .rejected."""
+    normalized form), url_filter.passed and .rejected; deduplicator.candidates are the distinct URLs among those passed."""
     from . import candidates as C
 
     normalized = C.normalized_url(settings)
     ok = F.coalesce(C.in_scope(F.col("n"), settings), F.lit(False))
     row = C.dedup(raw).select(normalized.alias("n")).agg(
-        F.count(F.lit(1)).alias("url_normalizer.processed_urls"), F.count_if(F.col("n").isNull()).alias("url_normalizer.exceptions"), F.count_if(ok).alias("url_filter.passed"), F.count_if(F.col("n").isNotNull() & ~ok).alias("url_filter.rejected")
+        F.count(F.lit(1)).alias("url_normalizer.processed_urls"), F.count_if(F.col("n").isNull()).alias("url_normalizer.exceptions"), F.count_if(ok).alias("url_filter.passed"), F.count_if(F.col("n").isNotNull() & ~ok).alias("url_filter.rejected"),
+        F.count_distinct(F.when(ok, F.col("n"))).alias("deduplicator.candidates"),
     )
     return row.first().asDict()
 

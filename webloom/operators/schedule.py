@@ -10,10 +10,12 @@ from ..functions.robots import later
 from ..settings import CrawlSettings
 
 
-def queue_rank(pages: DataFrame) -> DataFrame:
-    """pages (with scheme_and_authority) and rn: place in the host's queue, the highest priority first, then the URL. Each URL is queued once."""
+def queue_rank(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """pages (with scheme_and_authority) and rn: place in the host's queue, the highest priority first, then the URL. Each URL is queued once.
+    most: so many places of each queue alone, which are picked before the shuffle, so that a host with a large queue is no large task."""
     order = W.partitionBy("scheme_and_authority").orderBy(F.desc("crawl_priority"), "url")
-    return pages.dropDuplicates(["url"]).withColumn("rn", F.row_number().over(order))
+    ranked = pages.dropDuplicates(["url"]).withColumn("rn", F.row_number().over(order))
+    return ranked if most is None else ranked.where(F.col("rn") <= most)
 
 
 def heads(pages: DataFrame, per_host: int = 1) -> DataFrame:
@@ -28,6 +30,16 @@ def politeness(ranked: DataFrame, hosts: DataFrame, start: Column) -> DataFrame:
     return joined.withColumn("eligible_at", later(ready, (F.col("rn") - 1) * F.col("crawl_delay")))
 
 
+def upcoming(pages: DataFrame, hosts: DataFrame, start: Column, window_ms: int) -> DataFrame:
+    """politeness() of pages, as far as it matters within window_ms from start: of each queue the places that can be released by then and one
+    more. Hosts without a delay release all at once, so that their queues need no order."""
+    least = hosts.where("crawl_delay > 0").agg(F.min("crawl_delay")).first()[0]
+    quick = hosts.where("crawl_delay <= 0").select("scheme_and_authority")
+    all_at_once = pages.dropDuplicates(["url"]).join(quick, "scheme_and_authority", "left_semi").withColumn("rn", F.lit(1))
+    slow = queue_rank(pages.join(quick, "scheme_and_authority", "left_anti"), None if least is None else window_ms // least + 2)
+    return politeness(slow.unionByName(all_at_once), hosts, start)
+
+
 def released(scheduled: DataFrame, now: Column) -> DataFrame:
     """Releases that are due; a release at now itself is not."""
     return scheduled.where(F.col("eligible_at") < now)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -13,8 +14,10 @@ from ..functions import priority, robots, urls
 from ..operators import batches, candidates, hosts, metrics, responses, schedule
 from ..schemas import ALLOW_ALL, ALLOW_NONE, ALLOW_SOME, HEADERS, RULES
 from ..settings import CrawlSettings
+from ..sources.fetch import CorpusAdapter
 from ..sources.scratch import shared_folder
 from ..sources.state import ParquetState, apply_status, latest
+from .crawl import Crawl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -423,7 +426,8 @@ def q_entities_per_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH n AS (SELECT {SQL_NORM} AS n FROM (SELECT DISTINCT url FROM pages))
     SELECT 'url_normalizer.processed_urls' AS name, count(*) AS value FROM n UNION ALL SELECT 'url_normalizer.exceptions', 0 UNION ALL
-    SELECT 'url_filter.passed', count(*) FILTER (WHERE length(n) <= 40) FROM n UNION ALL SELECT 'url_filter.rejected', count(*) FILTER (WHERE length(n) > 40) FROM n"""
+    SELECT 'url_filter.passed', count(*) FILTER (WHERE length(n) <= 40) FROM n UNION ALL SELECT 'url_filter.rejected', count(*) FILTER (WHERE length(n) > 40) FROM n UNION ALL
+    SELECT 'deduplicator.candidates', count(DISTINCT n) FILTER (WHERE length(n) <= 40) FROM n"""
 )
 def q_admission_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = candidates.from_seeds(pages(spark, sf_dir))
@@ -565,3 +569,19 @@ def q_two_round_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = judged.select("scheme_and_authority", F.when(F.col("verdict") == "Allowed", "Processed").when(F.col("verdict") == "Ignored", "Discovered").otherwise("Disallowed").alias("status"), "crawl_depth")
     second = hosts.with_host(new).select("scheme_and_authority", F.lit("Processed").alias("status"), "crawl_depth")
     return first.unionByName(second).groupBy("scheme_and_authority", "status", "crawl_depth").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(
+    f"""WITH seed AS (SELECT DISTINCT {SQL_NORM} AS url FROM pages), body AS (SELECT url, html FROM pages WHERE url = {SQL_NORM}),
+    links AS (SELECT DISTINCT regexp_replace(h || href, '#.*$', '') AS url FROM (SELECT {SQL_HOST} AS h, unnest(list_distinct(regexp_extract_all(html,'<a\\s[^>]*?href="([^"]*)"',1))) AS href FROM body)),
+    found AS (SELECT url, 'Processed' AS status, 0 AS crawl_depth FROM seed UNION ALL SELECT url, 'Discovered', 1 FROM links WHERE url NOT IN (SELECT url FROM seed))
+    SELECT {SQL_HOST} AS scheme_and_authority, status, crawl_depth, count(*) AS pages FROM found GROUP BY ALL"""
+)
+def q_crawl_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl itself over the pages as the web: all are seeds, one round releases every queue to its end; its state by host, status and depth."""
+    p = pages(spark, sf_dir)
+    crawl = Crawl(spark, store(spark).path, CorpusAdapter.of_pages(p))
+    as_of = dt.datetime(2024, 6, 1, tzinfo=dt.timezone.utc)
+    crawl.seed(candidates.from_seeds(p), as_of)
+    crawl.round(as_of, window_ms=10**9)
+    return hosts.with_host(crawl.state.pages()).groupBy("scheme_and_authority", "status", "crawl_depth").agg(F.count(F.lit(1)).alias("pages"))

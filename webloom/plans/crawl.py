@@ -53,13 +53,19 @@ class Crawl:
 
     def admit(self, raw: DataFrame, as_of: dt.datetime, seq: int) -> DataFrame:
         """Raw candidates -> page events of those that are new: normalized, filtered, allowed by robots or unknown to it."""
-        clean = self._keep(C.dedup(C.url_filter(C.normalize(C.dedup(raw), self.settings), self.settings)), "clean", seq)
+        clean = C.url_filter(C.normalize(C.dedup(raw), self.settings), self.settings)
         fresh = self._keep(C.unseen(clean, self.state.pages()), "fresh", seq)
-        allowed = self._keep(H.lenient(fresh, self.refresh_hosts(fresh, as_of, seq)), "allowed", seq)
-        many, new, passed = clean.count(), fresh.count(), allowed.count()
-        self._count(M.admission(raw, self.settings) | {"deduplicator.passed": new, "deduplicator.rejected": many - new, "lenient_filter.passed": passed, "lenient_filter.rejected": new - passed})
+        allowed = H.lenient(fresh, self.refresh_hosts(fresh, as_of, seq))
+        seen = M.admission(raw, self.settings)
+        many, new = seen.pop("deduplicator.candidates"), fresh.count()
+        self._count(seen | {"deduplicator.passed": new, "deduplicator.rejected": many - new})
         return C.to_pages(allowed, self.settings).withColumn("attempts", F.lit(0))
 
+    def _lenient(self, passed: int) -> None:
+        """Of what the deduplicator passed since, so many were admitted."""
+        judged = self.counters.get("lenient_filter.passed", 0) + self.counters.get("lenient_filter.rejected", 0)
+        self._count({"lenient_filter.passed": passed, "lenient_filter.rejected": self.counters["deduplicator.passed"] - judged - passed})
+
     def _count(self, values: dict[str, int]) -> None:
         """Counters of the round so far; they are written with its metrics."""
         for k, v in values.items():
@@ -84,7 +90,9 @@ class Crawl:
         seq = self.state.last_seq() + 1
         events = self._keep(self.admit(raw, as_of, seq), "seeds", seq)
         self.state.append_pages(events, self.state.last_seq() + 1)
-        return events.count()
+        admitted = events.count()
+        self._lenient(admitted)
+        return admitted
 
     def round(self, as_of: dt.datetime | None = None, window_ms: int = 0, limit: int | None = None) -> Round:
         """One round at as_of: pages of the frontier (at most limit, those of the highest priority) that may be released before as_of, or
@@ -98,8 +106,7 @@ class Crawl:
         frontier = self._keep(frontier, "frontier", seq)
         hosts = self.refresh_hosts(frontier, as_of, seq)
         judged = self._keep(H.strict(frontier, hosts), "judged", seq)
-        queue = S.politeness(S.queue_rank(judged.where("verdict = 'Allowed'").drop("verdict")), hosts, just_before)
-        scheduled = self._keep(queue, "schedule", seq)
+        scheduled = self._keep(S.upcoming(judged.where("verdict = 'Allowed'").drop("verdict"), hosts, just_before, window_ms), "schedule", seq)
         due = S.released(scheduled, later(now, window_ms))
         requests = due.select("url", "crawl_depth", "crawl_priority", "attempts", "scheme_and_authority", "eligible_at")
         results = self._keep(R.classify_pages(self.adapter.pages(requests), s.max_content_length), "results", seq)
@@ -119,13 +126,15 @@ class Crawl:
         self.state.append_pages(done.unionByName(barred).unionByName(new.select(*done.columns)), last + 1)
         counted = judged.agg(F.count_if(F.col("verdict") == "Disallowed").alias("d"), F.count_if(F.col("verdict") == "Ignored").alias("i"), F.count_if(F.col("verdict") == "Allowed").alias("a")).first()
         wait = scheduled.join(due.select("url"), "url", "left_anti").agg(F.min("eligible_at").alias("t")).first()["t"]
+        discovered = new.count()
+        self._lenient(discovered)
         counters = {"parsed_documents": parse.count(), "emitted_urls": links.count()}
         totals = counters | self.counters | {"ignored_pages": counted["i"], "strict_filter.rejected": counted["d"], "strict_filter.passed": counted["a"], "host_queues": scheduled.select("scheme_and_authority").distinct().count()}
         self.counters = {}
         M.fetcher(results).unionByName(M.exceptions(results, "fetcher.exceptions_by_class")).unionByName(M.rows(self.spark, totals)).write.mode("overwrite").parquet(f"{self.path}/metrics/seq={seq}")
         if s.compact_every and last % s.compact_every == 0:
             self.state.compact()
-        return Round(seq, results.count(), new.count(), counted["d"], counted["i"], wait, counters)
+        return Round(seq, results.count(), discovered, counted["d"], counted["i"], wait, counters)
 
     def run(self, urls: list[str] | DataFrame | None = None, rounds: int = 100, as_of: dt.datetime | None = None, window_ms: int = 0, wait: bool = False, stop: Callable[[], bool] | None = None) -> list[Round]:
         """Seed, then rounds until nothing is left to fetch. Time goes on by itself with wait (the driver sleeps until the next
