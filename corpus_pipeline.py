@@ -48,7 +48,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written as Parquet in the shared folder and read again by the next."""
+    """All stages over documents; each stage's rows are written as Parquet in the shared folder and read again by the next.
+
+    Null, empty and letterless texts go with the first stage, for no language fits them. Of repeated rows one stays. A null doc_id, lang or
+    source is carried like any other value. An empty table gives no rows; further columns of any name are carried to the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)

@@ -50,3 +50,33 @@ def test_clean_documents_stay(kept):
 
 def test_run_gives_the_last_stage(spark, kept):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "chunk", "n_tokens").collect())) == sorted(map(tuple, kept["best_fit_packing"].select("doc_id", "chunk", "n_tokens").collect()))
+
+
+def tables(spark, folder, rows):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, `__key` string, `c0` int, `__redacted` string"
+    spark.createDataFrame(rows, schema).write.parquet(f"file://{folder}/documents.parquet")
+    return f"file://{folder}"
+
+
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    """Every stage carries odd rows and columns; what goes are texts without letters and all but one of a group."""
+    some = [r for r in pq.read_table(f"{SF}/documents.parquet").to_pylist() if r["text"] and r["lang"] and len(r["text"]) > 300][:60]
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "k", 1, "r") for r in some]
+    text = " ".join(reversed(rows[0][1].split()))  # its words, but no runs of them
+    rows += [(9001, None, None, None, None, None, None, None), (9002, "", "en", "a", 0, "k", 1, "r"), (9003, " 123 !!", None, None, 7, None, None, None)]
+    rows += [(9004, text, rows[0][2], None, len(text), "k", 1, "r")] * 3 + [(None, rows[3][1] + " " + rows[4][1], None, "a", 5, "k", 1, "r")]
+    path = tables(spark, tmp_path, rows)
+    docs, out = spark.read.parquet(f"{path}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, path).write.parquet(f"file://{tmp_path}/out/{name}")
+        docs = out[name] = spark.read.parquet(f"file://{tmp_path}/out/{name}")
+        if name != "best_fit_packing":
+            assert docs.columns == spark.read.parquet(f"{path}/documents.parquet").columns
+    first, second = ([r.doc_id for r in out[n].collect()] for n in ("language_id", "near_dedup"))
+    assert not {9001, 9002, 9003} & set(first) and first.count(9004) == 3
+    assert second.count(9004) == 1 and len(second) == len(out["secret_scan"].collect())
+    assert {r.doc_id for r in out["best_fit_packing"].collect()} <= set(second)
+
+
+def test_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, tables(spark, tmp_path, [])).count() == 0
