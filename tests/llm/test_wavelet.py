@@ -1,9 +1,11 @@
+from types import SimpleNamespace
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from webloom.llm import wavelet
-from webloom.llm.tokens import encode
+from webloom.llm.tokens import Words, encode, processor
 from webloom.llm.wavelet import build, save, shards
 
 DOCS = "doc_id bigint, text string, payload string, shard_id string"
@@ -74,3 +76,44 @@ def test_shards_close_by_documents_and_hold_ids(spark):
     for r in found:
         assert reader(bytes(r.payload)).names == r.doc_ids
     assert [i for r in sorted(found, key=lambda r: r.shard_id) for i in r.doc_ids] == [f"d{i % 7}" for i in range(50)]
+
+
+@pytest.mark.parametrize(("most", "letters", "apart"), [(1 << 18, 1 << 23, True), (5, 1 << 23, True), (1 << 18, 9, True), (1 << 18, 1 << 23, False)])
+def test_ids_by_words_are_those_of_whole_texts(most, letters, apart):
+    """Spaces anywhere, the space's mark in the text, unknown letters, no text; also while words are forgotten, or none is told apart."""
+    rng = np.random.default_rng(most + letters)
+    signs = [*[" "] * 6, "▁", "\n", "\r\n", "\t", "\0", "the", "The", "ing", "é", "é", "漢字", "👩‍👧", " ", "ﬁ", "0", "12", ".", "</s>", "<unk>", "<0x0A>", "x" * 70, "ש"]
+    fixed = [None, "", " ", "  ", "   ", "▁", "a ", "a  ", " a", "  a b", "the house  on the river ", "▁▁a▁b"]
+    words = Words(processor(), most, letters)
+    assert words.apart
+    words.apart = apart
+    for _ in range(40):
+        texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(rng.integers(0, 8))] + fixed
+        rng.shuffle(texts)
+        got, edges = words.encode(texts)
+        assert [got[a:b].tolist() for a, b in zip(edges[:-1], edges[1:])] == encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in words.encode([])] == [[], [0]]
+
+
+def test_each_word_is_encoded_once(spark, monkeypatch):
+    """A task's calls of the model, counted in letters: with whole texts there were 200 times as many."""
+
+    class Counting:
+        given = 0
+
+        def __getattr__(self, name):
+            return getattr(processor(), name)
+
+        def encode(self, texts, **how):
+            Counting.given += sum(map(len, texts))
+            return processor().encode(texts, **how)
+
+    frame = spark.createDataFrame([], "doc_id bigint, text string")
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: run)
+    monkeypatch.setattr(wavelet, "processor", lambda _: Counting())
+    monkeypatch.setattr(wavelet, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    text = " ".join(f"word{i}" for i in range(500))
+    found = list(shards(frame)(iter([pa.record_batch({"doc_id": pa.array(range(200)), "text": pa.array([text] * 200)})])))
+    m = reader(found[0].column("payload")[0].as_py())
+    assert m.tokens().tolist() == encode(pa.array([text]))[0] * 200
+    assert Counting.given <= 2 * len(text)

@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from .common import bound_batches, id_column, slices
 from .language_id import TOKENIZERS
-from .tokens import processor
+from .tokens import Words, processor
 
 MAGIC = b"WVM1"
 BLOCK = 1 << 15  # bytes of a plane that are compressed together
@@ -29,14 +29,14 @@ def build(ids: np.ndarray, starts: np.ndarray, bits: int, level: int = 1, names:
     Layout: magic, length of the header, header (JSON: length, bits, zeros of each plane, sizes of the parts), then document
     starts and ids, rank directories and plane blocks, each compressed alone, so that an access reads only the blocks that it touches.
     """
-    seq = ids.astype(np.uint32, copy=True)
+    seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     n = len(seq)
     pack = zstandard.ZstdCompressor(level=level)
     parts: list[bytes] = [pack.compress(starts.astype("<i8").tobytes()), pack.compress(json.dumps(names or [], default=str).encode())]
     zeros, sizes = [], []
     for b in range(bits - 1, -1, -1):
-        ones = (seq >> np.uint32(b)) & np.uint32(1)
-        plane = np.packbits(ones.astype(np.uint8), bitorder="little")
+        one = (seq & seq.dtype.type(1 << b)) != 0
+        plane = np.packbits(one, bitorder="little")
         pad = np.zeros(-len(plane) % (SUPER // 8), np.uint8)
         counts = np.bitwise_count(np.concatenate([plane, pad]).view(np.uint64)).reshape(-1, SUPER // 64).sum(axis=1, dtype=np.uint64)
         directory = np.concatenate([[0], np.cumsum(counts)]).astype("<u4")
@@ -45,9 +45,8 @@ def build(ids: np.ndarray, starts: np.ndarray, bits: int, level: int = 1, names:
         folded = pack.compress(directory.tobytes())
         sizes.append([len(folded), [len(x) for x in blocks]])
         parts += [folded, *blocks]
-        one = ones.astype(bool)
         zeros.append(int(n - np.count_nonzero(one)))
-        seq = np.concatenate([seq[~one], seq[one]])
+        seq = np.concatenate([seq.compress(~one), seq.compress(one)])
     header = json.dumps({"n": n, "bits": bits, "zeros": zeros, "starts": len(parts[0]), "names": len(parts[1]), "sizes": sizes}).encode()
     return b"".join([MAGIC, struct.pack("<I", len(header)), header, *parts])
 
@@ -187,6 +186,7 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = processor(tokenizers)
+        words = Words(model)
         bits = max(1, int(model.get_piece_size() - 1).bit_length())
         number = TaskContext.get().partitionId() << 24
         ids, held, lengths, size, kind = [], [], [], 0, pa.int64()
@@ -205,11 +205,12 @@ def shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
             for part in slices(batch.column(1), 1 << 19):
                 names = batch.column(0).slice(at, len(part)).to_pylist()
                 at += len(part)
-                for name, tokens in zip(names, model.encode([t or "" for t in part.to_pylist()], num_threads=1)):
+                tokens, edges = words.encode(part.to_pylist())
+                for name, a, b in zip(names, edges[:-1].tolist(), edges[1:].tolist()):
                     ids.append(name)
-                    lengths.append(len(tokens))
-                    held.append(np.array(tokens, np.uint32))
-                    size += len(tokens)
+                    lengths.append(b - a)
+                    held.append(tokens[a:b])
+                    size += b - a
                     if size >= shard_tokens or len(ids) >= shard_docs:
                         yield close()
         if ids:
