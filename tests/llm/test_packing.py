@@ -1,10 +1,14 @@
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from webloom.llm.packing import pack
-from webloom.llm.tokens import processor
+from webloom.llm import packing, tokens
+from webloom.llm.packing import counted, pack
+from webloom.llm.tokens import Words, encode, processor
 
 SCHEMA = "doc_id bigint, text string, bin_id string, size int"
 CAPACITY = 64
@@ -68,3 +72,48 @@ def test_nulls_empty_long_and_repeated(spark):
 
 def test_empty(spark):
     assert pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string(), pa.binary()])
+@pytest.mark.parametrize(("most", "letters", "apart"), [(1 << 18, 1 << 23, True), (3, 1 << 23, True), (1 << 18, 9, True), (1 << 18, 1 << 23, False)])
+def test_counts_by_words_are_those_of_whole_texts(most, letters, apart, kind):
+    """Spaces anywhere, the space's mark in the text, unknown letters, no text; also while words are forgotten within a text, and in slices."""
+    rng = np.random.default_rng(most + letters)
+    signs = [*[" "] * 6, "▁", "\n", " \n", "\t", "\0", "the", "The", "ing", "é", "漢字", "👩‍👧", "\u00a0", "ﬁ", "0", ".", "</s>", "<unk>", "<0x0A>", "x" * 70]
+    fixed = [None, "", " ", "  ", "▁", "a ", "a  ", " a", "a  b", "a b c d e f g a", "the house  on the river "]
+    words = Words(processor(), most, letters)
+    words.apart = apart
+    for i in range(40):
+        texts = ["".join(rng.choice(signs, rng.integers(0, 30))) for _ in range(rng.integers(0, 8))] + fixed * (i % 2)
+        rng.shuffle(texts)
+        column = pa.array(texts, pa.string()).cast(kind)
+        for part in (column, column.slice(len(column) // 2)):
+            assert words.count(part).tolist() == [len(ids) for ids in encode(part)]
+
+
+def test_each_word_is_counted_once(spark, monkeypatch):
+    """A task's calls of the model, counted in letters: with whole texts there were 200 times as many."""
+
+    class Counting:
+        given = 0
+
+        def __getattr__(self, name):
+            return getattr(processor(), name)
+
+        def encode(self, texts, **how):
+            Counting.given += sum(map(len, texts))
+            return processor().encode(texts, **how)
+
+    frame = spark.createDataFrame([], "doc_id bigint, text string")
+    text = " ".join(f"word{i}" for i in range(500))
+    size = len(processor().encode(text))
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: run)
+    for module in (packing, tokens):
+        monkeypatch.setattr(module, "processor", lambda *_: Counting(), raising=False)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    run = counted(frame, "doc_id", "text", CAPACITY, packing.TOKENIZERS)
+    found = list(run(iter([pa.record_batch({"doc_id": pa.array(range(100)), "text": pa.array([text] * 100)})] * 2)))
+    pieces = -(-size // CAPACITY)
+    assert [x for b in found for x in b.column("n_tokens").to_pylist()] == [size] * 200
+    assert [x for b in found for x in b.column("first").to_pylist()] == [pieces * i for i in range(200)]
+    assert Counting.given <= 2 * len(text)

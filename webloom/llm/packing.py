@@ -16,7 +16,7 @@ from pyspark.sql.types import StructField, StructType
 
 from .common import BROADCAST_BYTES, Scratch, bound_batches, id_column, slices, small_side
 from .language_id import TOKENIZERS
-from .tokens import encode
+from .tokens import Words, processor
 
 # kind 1: a gap of a bin, 0: a piece to place; swept rows have more
 STATE = ["kind", "id", "size", "doc_id", "chunk"]
@@ -28,9 +28,9 @@ def counted(docs: DataFrame, id_col: str, text_col: str, capacity: int, tokenize
     """(doc_id, n_tokens, first): first numbers the pieces of capacity tokens that the text is cut into, distinct over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
+        number, words = TaskContext.get().partitionId() << 40, Words(processor(tokenizers), most=1 << 19)
         for batch in batches:
-            sizes = np.concatenate([np.fromiter(map(len, encode(part, tokenizers)), np.int64) for part in slices(batch.column(1))])
+            sizes = np.concatenate([words.count(part) for part in slices(batch.column(1), 1 << 21)])
             pieces = -(-sizes // capacity)
             first = number + np.cumsum(pieces) - pieces
             number += int(pieces.sum())
