@@ -23,10 +23,11 @@ def checked_status(status: Column) -> Column:
     return F.when(status.isin(*STATUSES), status).otherwise(F.raise_error(F.concat(F.lit("unknown page status: "), F.coalesce(status, F.lit("null")))))
 
 
-def apply_status(pages: DataFrame, updates: DataFrame) -> DataFrame:
-    """pages with the status that updates (url, status) give them; URLs that aren't in pages are ignored."""
-    new = updates.select("url", F.col("status").alias("new_status"))
-    return pages.join(new, "url", "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
+def apply_status(pages: DataFrame, updates: DataFrame, key: str = "url") -> DataFrame:
+    """pages with the status that updates (key, status; each key once) give them; keys that aren't in pages are ignored. All pages of a key
+    get its status: where pages share URLs and have one each, another key tells them apart."""
+    new = updates.select(key, F.col("status").alias("new_status"))
+    return pages.join(new, key, "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
 
 
 class StateStore(Protocol):
